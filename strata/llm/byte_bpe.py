@@ -22,50 +22,11 @@ from pyspark.sql import DataFrame
 
 #: Characters after which a very long text is cut at the next place where a match must begin.
 SEGMENT = 1_000_000
-#: Pre-tokens remembered by a worker, and the longest of them.
-CACHE, CACHED_LENGTH = 250_000, 48
-
-
-class RankQueue:
-    """The lowest rank first, and of one rank the leftmost position first."""
-
-    def __init__(self, ranks: int):
-        self.bits = [[0] * (ranks // 64 + 1)]
-        while len(self.bits[-1]) > 1:
-            self.bits.append([0] * ((len(self.bits[-1]) + 63) // 64))
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.bits:
-            rank, bit = rank >> 6, 1 << (rank & 63)
-            was = level[rank]
-            level[rank] = was | bit
-            if was:
-                return
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.bits[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.bits):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.bits:
-                at, bit = at >> 6, 1 << (at & 63)
-                level[at] &= ~bit
-                if level[at]:
-                    break
-        return rank, position
+#: Pre-tokens remembered by a worker in each of two generations, and the longest of them.
+CACHE, CACHED_LENGTH = 300_000, 48
+#: Bits in a word of the bitmap's lower level.
+WORD = 256
+BIT = [1 << i for i in range(WORD)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +39,7 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 1
-        self.queue = RankQueue(self.size)  # empty again after each pre-token
+        self.bitmap = [0] * (self.size // WORD + 1)  # all zero again after each pre-token
         self.pieces = regex.compile(pattern).findall
         self.vocabulary: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
@@ -87,44 +48,68 @@ class ByteBPE:
         self.cache = _Cache(self)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks, n, queue = self.ranks, len(piece), self.queue
-        whole = ranks.get(piece)
+        """Ids of one pre-token.
+
+        The queue: ``buckets`` holds the list positions of each rank as a heap, so that of one rank
+        the leftmost comes first; a bit of ``bitmap`` says that a rank has a bucket, a bit of ``top``
+        that a word of the bitmap isn't 0.
+        """
+        rank_of, bitmap, n = self.ranks.get, self.bitmap, len(piece)
+        whole = rank_of(piece)
         if whole is not None:
             return (whole,)
-        after, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        buckets: dict[int, list[int]] = {}
+        top = 0
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank // WORD
+                    bitmap[word] |= BIT[rank % WORD]
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = bitmap[word]
+            rank = word * WORD + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bitmap[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
             after[i] = end = after[gone]
+            before[end] = i
             pair[gone] = -1
-            if end < n:
-                before[end] = i
-                self._pair(piece, i, after[end], pair)
-            else:
-                pair[i] = -1
-            left = before[i]
-            if left >= 0:
-                self._pair(piece, left, end, pair)
+            pair[i] = -1
+            changed = ((i, after[end]),) if end < n else ()
+            if i:
+                changed += ((before[i], end),)
+            for start, stop in changed:
+                rank = pair[start] = rank_of(piece[start:stop], -1)
+                if rank >= 0:
+                    if rank in buckets:
+                        heappush(buckets[rank], start)
+                    else:
+                        buckets[rank] = [start]
+                        word = rank // WORD
+                        bitmap[word] |= BIT[rank % WORD]
+                        top |= 1 << word
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(rank_of(piece[i : after[i]]))
             i = after[i]
         return tuple(ids)
 
-    def _pair(self, piece: bytes, start: int, end: int, pair: list[int]) -> None:
-        rank = self.ranks.get(piece[start:end], -1)
-        pair[start] = rank
-        if rank >= 0:
-            self.queue.push(rank, start)
-
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.encode_parts(text)))
 
@@ -138,13 +123,18 @@ class ByteBPE:
 
 
 class _Cache(dict):
+    """Two generations: when the young one is full it becomes the old one, so frequent pre-tokens stay."""
+
     def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.bpe.merge(piece.encode())
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.bpe.merge(piece.encode())
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

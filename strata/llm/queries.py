@@ -52,6 +52,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "spans", "cuts", words.alias("n_words_repeated"), "first_doc_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import language_id
+
+    found = language_id.identify_documents(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "lang", "confidence", "accepted", "text_lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -50,14 +50,15 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fp)``; fp has the 64 bits as a signed long. Null is empty."""
+    """``docs(doc_id, text)`` to ``(doc_id, h, fp)``: the text's hash, and the 64 bits as a signed long. Null is empty."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter(map(fingerprint, raw_texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter(map(fingerprint, raw_texts(batch.column(2))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 class Forest:
@@ -212,7 +213,7 @@ def _link_sorted(batches, radius: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, fp, component_id)``, a row for each row.
+    """``docs(doc_id, text)`` to ``(doc_id, h, fp, component_id)``, a row for each row; h is the text's hash.
 
     Texts without words have fingerprint 0 and link like any other. Equal fingerprints are one
     vertex, so a group of copies costs one row from the first grouping on. ``component_id`` is the
@@ -223,21 +224,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = RADIUS)
     roots = components(spark, links(spark, distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct.fp == roots.vertex, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "h", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id.
+    """``docs`` with one document of each component: that of the smallest doc_id.
 
-    Rows that repeat that id count as one too. Rows whose component has null ids only all stay,
-    as nothing tells them apart.
+    Rows that repeat it, or give its id another text of the component, count as one too. Rows
+    without id stay only where their whole component has none.
     """
     found = staged(spark, near_duplicates(spark, docs, radius), "components")
-    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(chosen.hint("shuffle_hash"), "doc_id")
-    several = chosen.where("n > 1").limit(1).count() > 0
-    kept = kept.dropDuplicates(["doc_id"]) if several else kept
-    kept = kept.select(*docs.columns)
-    if found.where("component_id is null").limit(1).count():
-        kept = kept.unionByName(docs.where("doc_id is null"))
+    first = found.where("doc_id = component_id").groupBy("doc_id", "component_id")
+    several = first.agg(F.count("*").alias("n"), F.min("h").alias("first_h")).where("n > 1")
+    several = staged(spark, several.select(F.col("component_id").alias("c"), "first_h"), "several")
+    of_first = found.where("doc_id = component_id").join(several, F.col("component_id") == F.col("c")).where("h <> first_h")
+    dropped = found.where("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "h")
+    dropped = dropped.unionByName(of_first.select("doc_id", "h")).distinct()
+    dropped = staged(spark, dropped.select(F.col("doc_id").alias("_strata_d"), F.col("h").alias("_strata_h")), "dropped")
+    on = F.col("doc_id").eqNullSafe(F.col("_strata_d")) & F.xxhash64("text").eqNullSafe(F.col("_strata_h"))
+    kept = docs.join(dropped, on, "left_anti")
+    repeated = several.select(F.col("c").alias("_strata_c"))
+    if repeated.limit(1).count():
+        own = kept.join(repeated, F.col("doc_id") == F.col("_strata_c"), "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, F.col("doc_id") == F.col("_strata_c"), "left_anti").unionByName(own)
     return kept
