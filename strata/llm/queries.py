@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from strata.llm.common import shared_path, table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import html_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import byte_bpe
 
