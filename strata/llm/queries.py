@@ -28,6 +28,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm import hilbert_ann
+
+    return hilbert_ann.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import token_files
 
