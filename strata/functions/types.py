@@ -30,7 +30,7 @@ ROW_BYTES = 8 + 12
 def spark_type(dtype: str, depth: int = 0) -> T.DataType:
     kind = SPARK_TYPES[dtype]
     for _ in range(depth):
-        kind = T.ArrayType(kind, containsNull=False)
+        kind = T.ArrayType(kind)  # nulls inside are rejected on write
     return kind
 
 

@@ -44,7 +44,7 @@ def prepared(schema: TableSchema, df: DataFrame, at: dt.datetime) -> DataFrame:
         kind = df.schema[name].dataType
         if kind.typeName() != "void" and not same_type(kind, field.spark):
             raise InvalidRequest(f"column {name}: {kind.simpleString()} isn't {field.spark.simpleString()}")
-        column = F.col(name).cast(field.spark) if kind != field.spark else F.col(name)
+        column = F.col(name) if kind.simpleString() == field.spark.simpleString() else F.col(name).cast(field.spark)
         size = value_bytes(F.col(name), field.dtype, field.nested_list_depth)
         columns.append(column.alias(name))
         sizes.append(size)
