@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -110,7 +111,7 @@ class Writer:
         found = read.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"), F.sum("_bytes").alias("size")).collect()
         out = []
         for r in sorted(found, key=lambda r: r.path):
-            path = r.path[r.path.index(staging) :].replace("%7E", "~")
+            path = unquote(r.path[r.path.index(staging) :])
             parts = dict(p.split("=", 1) for p in path.split("/")[2:-1])
             partition = {n: from_path_text(d, parts[schema.path_column(n)]) for n, d in schema.partitioning.items()}
             out.append((partition, path, r.n, r.size))

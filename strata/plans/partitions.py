@@ -92,13 +92,13 @@ def decoded(schema: TableSchema, name: str) -> Column:
 
 def path_text(dtype: str, value) -> str:
     if dtype == "string":
-        return f"s~{value}"
+        return "s~" + value.replace("*", "%2A")  # as Spark writes it; a star would be a pattern in a path
     return str(value).lower() if dtype == "bool" else str(value)
 
 
 def from_path_text(dtype: str, text: str):
     if dtype == "string":
-        return text[2:]
+        return text[2:].replace("%2A", "*")
     return text == "true" if dtype == "bool" else int(text)
 
 
