@@ -20,16 +20,30 @@ from strata.plans.store import HadoopStore, LocalStore
 
 #: Delete vectors of at most this many row ids are broadcast: 60 bytes each at most.
 BROADCAST_DELETES = 500_000
+#: Files of a snapshot that the driver looks up itself.
+DRIVER_LISTING = 512
 DELETE_SCHEMA = "_segment_id string, _row_id long"
 
 
+def _open(spark: SparkSession, schema: T.StructType, base: str, paths: list[str]) -> DataFrame:
+    """The files as one scan. Some hundreds are looked up from the driver; for more, Spark runs a job of its own."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(key)
+    try:
+        if int(before) < len(paths) <= DRIVER_LISTING:
+            spark.conf.set(key, str(DRIVER_LISTING))
+        return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    finally:
+        spark.conf.set(key, before)
+
+
 def _files(spark: SparkSession, store: LocalStore | HadoopStore, table: str, state: State, segments: list[Segment], with_ids: bool) -> DataFrame:
     """User columns, then _segment_id, _row_id and _written_at where asked for."""
     schema = state.schema
     stored = T.StructType([f for f in schema.stored() if f.name != "_bytes"])
     paths = [store.uri(f"{table}/data/{p}") for s in segments for p in s.files]
     if paths:
-        rows = spark.read.schema(stored).option("basePath", store.uri(f"{table}/data")).parquet(*paths)
+        rows = _open(spark, stored, store.uri(f"{table}/data"), paths)
         row_id = F.coalesce(F.col(ROW_ID), F.col("_base") + F.col("_metadata.row_index"))
     else:
         rows, row_id = spark.createDataFrame([], stored), F.col(ROW_ID)
