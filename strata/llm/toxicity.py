@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import raw_texts
+from strata.llm.common import raw_texts, staged
 
 MAX_ROWS, FEATURES, BUCKETS = 20_000, 4096, 1 << 20
 #: Lengths of the word beginnings that are features, and documents a feature must occur in.
@@ -194,12 +194,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def _read_rows(rows: DataFrame, model, index: dict[int, int] | None) -> DataFrame:
+def _read_rows(rows: DataFrame, model: CharacterModel) -> DataFrame:
     """(label, text) to (label, ids)."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, index))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        reader = Reader(*shared.value)
+        reader = Reader(shared.value)
         for batch in batches:
             ids = [sorted(reader.read(raw.decode())) for raw in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["label", "ids"])
@@ -207,14 +207,27 @@ def _read_rows(rows: DataFrame, model, index: dict[int, int] | None) -> DataFram
     return rows.mapInArrow(run, "label int, ids array<int>")
 
 
+def _only(rows: DataFrame, index: dict[int, int]) -> DataFrame:
+    """(label, ids) with the places of the ids that ``index`` has."""
+
+    def run(batches):
+        for batch in batches:
+            ids = [[index[i] for i in own if i in index] for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["label", "ids"])
+
+    return rows.mapInArrow(run, "label int, ids array<int>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, features: int = FEATURES) -> Classifier:
     """From ``docs(doc_id, text)`` and ``labels(doc_id, label)``, of rows that aren't held out."""
     characters = CharacterModel(character_counts(docs))
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
     n, scale = usable.count(), 1 << 30
     taken = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < (scale if n <= max_rows else max_rows * scale // n)
-    sample = docs.where(taken).select("doc_id", "text").join(usable.where(taken), "doc_id").select("label", "text")
-    read = _read_rows(sample, characters, None)
+    picked = staged(docs.sparkSession, usable.where(taken), "picked")
+    few = picked.count() <= 2 * max_rows  # by the hash's spread; no text has to move then
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked) if few else picked, "doc_id").select("label", "text")
+    read = staged(docs.sparkSession, _read_rows(sample, characters), "sample")
     size = read.groupBy("label").count().collect()
     total = {r.label: r["count"] for r in size}
     pos, neg = max(1, total.get(1, 0)), max(1, sum(v for k, v in total.items() if k != 1))
@@ -224,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     top = seen.where(F.col("p") + F.col("q") >= LEAST_DOCS).orderBy(telling.desc(), "id").limit(features).select("id").collect()
     index = {r.id: i for i, r in enumerate(top)}
     y, rows, columns = [], [], []
-    chosen = _read_rows(sample, characters, index).toPandas()  # at most max_rows rows of ids under ``features``
+    chosen = _only(read, index).toPandas()  # at most max_rows rows of ids under ``features``
     for i, (value, ids) in enumerate(zip(chosen["label"], chosen["ids"], strict=True)):
         y.append(float(value == 1))
         rows += [i] * len(ids)
