@@ -9,6 +9,9 @@ prefix lengths cut both orders into classes; a window that uses l words before a
 position is repeated exactly if another suffix shares its class at l and its class at r. So every
 match is extended left and right, not only that of neighbours, without comparing all pairs.
 
+Minimisers of more than ``HOT`` suffixes, which would make a task that grows with a hot passage, are
+compared by the same windows' hashes in grouped aggregation instead, with equal results.
+
 A passage counts as repeated if it occurs in two different documents. Of each repeated window the
 occurrence of the smallest (doc_id, position) is the first; ``cut`` takes the others out.
 
@@ -32,6 +35,8 @@ from strata.llm.hashing import run_hashes, word_hashes
 MIN_WORDS, K = 50, 8
 #: Suffixes compared at once, but for a single larger group.
 CHUNK = 30_000
+#: Suffixes of one minimiser from which on they are compared window by window.
+HOT = 5_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -57,19 +62,78 @@ def minimisers(h: np.ndarray, min_words: int = MIN_WORDS, k: int = K) -> tuple[n
 
 
 def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each document and minimiser: key, and the positions ``ats`` of the suffixes that begin with it."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            found = [minimisers(word_hashes(raw.split()), min_words) for raw in raw_texts(batch.column(2))]
-            row = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
-            empty = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-            at = np.concatenate([x for x, _ in found + empty]).astype(np.int32)
-            key = np.concatenate([x for _, x in found + empty]).view(np.int64)
-            ids, marks = (batch.column(i).take(pa.array(row)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(at), pa.array(key)], names=["doc_id", "h", "at", "key"])
+            rows, keys, lists, sizes = [], [], [], []
+            for i, raw in enumerate(raw_texts(batch.column(2))):
+                at, key = minimisers(word_hashes(raw.split()), min_words)
+                order = np.argsort(key, kind="stable")
+                own, n = np.unique(key, return_counts=True)
+                rows.append(np.full(len(own), i))
+                keys.append(own)
+                lists.append(at[order])
+                sizes.append(n)
+            joined = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+            offsets = np.concatenate(([0], np.cumsum(joined(sizes, np.int64)))).astype(np.int32)
+            take = pa.array(joined(rows, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(joined(keys, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined(lists, np.int32))),
+                ],
+                names=["doc_id", "h", "key", "ats"],
+            )
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, h long, key long, ats array<int>")
+
+
+def _windows(df: DataFrame, min_words: int) -> DataFrame:
+    """Rows (doc_id, h, text, ats) to a row for each window around a suffix: its start and 64-bit hash."""
+    id_type = df.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i, raw in enumerate(raw_texts(batch.column(2))):
+                hashes = run_hashes(word_hashes(raw.split()), min_words)
+                marks = np.zeros(len(hashes) + min_words, np.int64)
+                at = np.array(batch.column(3)[i].as_py(), np.int64)
+                np.add.at(marks, np.maximum(at - (min_words - K), 0), 1)
+                np.add.at(marks, np.minimum(at + 1, len(hashes)), -1)
+                start = np.flatnonzero(np.cumsum(marks)[: len(hashes)] > 0)
+                for low in range(0, len(start), 1 << 16):
+                    part = start[low : low + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([batch.column(0)[i].as_py()] * len(part), batch.schema.field(0).type),
+                            pa.array([batch.column(1)[i].as_py()] * len(part), pa.int64()),
+                            pa.array(part.astype(np.int32)), pa.array(hashes[part].view(np.int64)),
+                        ],
+                        names=["doc_id", "h", "start", "window"],
+                    )
+
+    return df.mapInArrow(run, f"doc_id {id_type}, h long, start int, window long")
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, h long, at int, key long")
+
+def _compare_hot(spark: SparkSession, texts: DataFrame, min_words: int) -> DataFrame:
+    """The spans of suffixes whose minimisers are very frequent, window by window.
+
+    A window's first and last documents are grouped extremes, combined before their shuffle, and the join
+    back has one row a window on its other side: no task's share grows with a minimiser's group.
+    """
+    rows = staged(spark, _windows(texts, min_words), "windows")
+    place = F.struct("doc_id", "h", "start")
+    classes = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "h")).alias("last"))
+    classes = classes.where("not (first.doc_id <=> last.doc_id and first.h <=> last.h)").select("window", "first")
+    joined = rows.join(classes, "window")
+    lead = F.expr("first.doc_id <=> doc_id and first.h <=> h and first.start <=> start")
+    end = F.col("start") + min_words
+    return joined.select(
+        "doc_id", "h", "start", end.alias("end"), F.when(lead, 0).otherwise(F.col("start")).alias("cut_start"),
+        F.when(lead, 0).otherwise(end).alias("cut_end"), F.col("first.doc_id").alias("first_doc_id"),
+    )
 
 
 def _contexts(df: DataFrame, min_words: int) -> DataFrame:
@@ -218,7 +282,7 @@ def _merge_spans(pairs: list) -> list[list[int]]:
     return out
 
 
-def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
     """A row for each document of ``docs(doc_id, text)`` that shares a passage with another.
 
     ``doc_id``, ``h`` (hash of its text), ``spans`` and ``cuts`` (word positions of its repeated
@@ -228,16 +292,21 @@ def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) ->
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     suffixes = staged(spark, _suffixes(keyed, min_words), "suffixes")
-    shared = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = suffixes.join(shared, "key").groupBy("doc_id", "h").agg(F.collect_list("at").alias("ats"))
+    shared = suffixes.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum(F.size("ats")).alias("n")).where("n_docs > 1")
+    shared = suffixes.join(shared.select("key", (F.col("n") > hot).alias("hot")), "key").select("doc_id", "h", "ats", "hot")
+    shared = staged(spark, shared, "shared")
+    wanted = shared.groupBy("doc_id", "h", "hot").agg(F.flatten(F.collect_list("ats")).alias("ats"))
     wanted = staged(spark, wanted, "wanted").withColumnsRenamed({"doc_id": "d", "h": "g"})
-    texts = keyed.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")))
-    contexts = _contexts(texts.select("doc_id", "h", "text", "ats"), min_words)
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
+    texts = lambda own: keyed.join(own.hint("shuffle_hash"), on).select("doc_id", "h", "text", "ats")
+    contexts = _contexts(texts(wanted.where("not hot")), min_words)
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
     found = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(
         lambda batches: _compare_sorted(batches, min_words, arrow_id),
         f"doc_id {id_type}, h long, start int, end int, cut_start int, cut_end int, first_doc_id {id_type}",
     )
+    if wanted.where("hot").limit(1).count():
+        found = found.unionByName(_compare_hot(spark, texts(wanted.where("hot")), min_words))
     grouped = found.groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"),
         F.collect_list(F.when(F.col("cut_end") > 0, F.struct(F.col("cut_start").alias("start"), F.col("cut_end").alias("end")))).alias("cuts"),
