@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strata.llm.common import remembered
+
 #: Characters after which a very long text is cut at the next place where a match must begin.
 SEGMENT = 1_000_000
 #: Pre-tokens remembered by a worker in each of two generations, and the longest of them.
@@ -158,14 +160,12 @@ def segments(text: str):
 
 SAFE = regex.compile(r"(?<=\S) (?=\S)")
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
-
-
 def tokenizer(path: str, pattern: str) -> ByteBPE:
     """One for each worker process and vocabulary."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+    loaded = remembered("byte_bpe")
+    if (path, pattern) not in loaded:
+        loaded[path, pattern] = ByteBPE(read_ranks(path), pattern)
+    return loaded[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

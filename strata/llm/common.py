@@ -60,6 +60,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(owner: str) -> dict:
+    """What an operator keeps in this worker process from task to task; what others have kept is dropped,
+    so a worker that runs one stage after another holds the memory of one operator at a time."""
+    if owner not in _remembered:
+        for own in _remembered.values():
+            own.clear()
+        _remembered.clear()
+        _remembered[owner] = {}
+    return _remembered[owner]
+
+
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of a string column without decoding it; null is empty."""
     column = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from strata.llm.common import alnum_words, raw_texts
+from strata.llm.common import alnum_words, raw_texts, remembered
 
 WIDTH, SHINGLE, MIN_ITEMS = 8, 3, 2
 #: Benchmark texts up to this size are indexed in each worker's memory, some 400 times their words' count in bytes.
@@ -99,6 +99,7 @@ def frequencies(docs: DataFrame, items: list[tuple[str | None, bytes]], width: i
     sets = {k: frozenset(v) for k, v in by_length.items()}
 
     def run(batches):
+        remembered("decontaminate")
         counts: Counter = Counter()
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
@@ -162,6 +163,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_it
     at = docs.columns.index("text")
 
     def run(batches):
+        remembered("decontaminate")
         for batch in batches:
             keep = [len(_measure(index.value, alnum_words(raw))[1]) < min_items for raw in raw_texts(batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))

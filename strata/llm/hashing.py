@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from strata.llm.common import remembered
+
 #: Words remembered by a worker.
 CACHE = 400_000
 #: An odd multiplier: (2**64 / golden ratio), odd.
@@ -21,11 +23,12 @@ class WordHashes(dict):
         return h
 
 
-_words = WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    own = remembered("words")
+    known = own.get("hashes")
+    if known is None:
+        known = own["hashes"] = WordHashes()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import raw_texts, staged
+from strata.llm.common import raw_texts, remembered, staged
 
 FEATURES = 1 << 15
 PER_LANGUAGE, LANGUAGES = 5_000, 64
@@ -72,6 +72,7 @@ def fit(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", pe
     number = {k: i for i, k in enumerate(languages)}
 
     def run(batches):
+        remembered("language_id")
         own = np.zeros((max(1, len(number)), FEATURES), np.int64)
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
@@ -103,6 +104,7 @@ def _likelihoods(rows: DataFrame, model: TextModel, names: list[str]) -> DataFra
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        remembered("language_id")
         for batch in batches:
             found = [shared.value.score(raw) for raw in raw_texts(batch.column(len(names)))]
             yield pa.RecordBatch.from_arrays(

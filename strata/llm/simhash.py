@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import raw_texts, staged
+from strata.llm.common import raw_texts, remembered, staged
 from strata.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` to ``(doc_id, h, fp)``: the text's hash, and the 64 bits as a signed long. Null is empty."""
 
     def run(batches):
+        remembered("simhash")
         for batch in batches:
             fps = np.fromiter(map(fingerprint, raw_texts(batch.column(2))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
@@ -242,7 +243,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> Data
     dropped = dropped.unionByName(of_first.select("doc_id", "h")).distinct()
     dropped = staged(spark, dropped.select(F.col("doc_id").alias("_strata_d"), F.col("h").alias("_strata_h")), "dropped")
     on = F.col("doc_id").eqNullSafe(F.col("_strata_d")) & F.xxhash64("text").eqNullSafe(F.col("_strata_h"))
-    kept = docs.join(dropped, on, "left_anti")
+    kept = docs.join(dropped.hint("shuffle_hash"), on, "left_anti")  # the texts move once, unsorted, whatever the number dropped
     repeated = several.select(F.col("c").alias("_strata_c"))
     if repeated.limit(1).count():
         own = kept.join(repeated, F.col("doc_id") == F.col("_strata_c"), "left_semi").dropDuplicates(["doc_id"])
