@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import staged
 
 CURVES, DIMENSIONS, BITS = 8, 8, 8
-BUCKET, SAMPLE_ROWS, TARGET, K = 4096, 16_384, 0.95, 10
+BUCKET, SAMPLE_ROWS, TARGET, K = 1024, 16_384, 0.95, 10
 MOST_BUCKETS = SAMPLE_ROWS // 4
 SALTS = 32
 
