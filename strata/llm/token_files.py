@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from dataclasses import asdict, dataclass
 from zlib import crc32
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words remembered by a worker, and the longest of them in bytes.
-CACHE, CACHED_LENGTH = 300_000, 64
+#: Words remembered by a worker in each of two generations, the longest of them in bytes, and texts read at once.
+CACHE, CACHED_LENGTH, TEXTS = 400_000, 64, 256
 #: Stands in an .ids file for a null document id.
 NO_ID = np.iinfo("<i8").min
 
@@ -40,24 +41,72 @@ class Part:
     base: int = 0
 
 
+#: A chunk between white space that falls apart into letters, digits and signs, whatever stands beside each:
+#: ASCII without apostrophes (which may begin a contraction) and control characters, and Latin letters that
+#: no combining mark follows and that lower-casing leaves one letter.
+PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])*")
+#: Bytes of texts without combining marks; in these a letter may be lower-cased before it is normalised.
+COMMON = bytes([*range(0x80), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+PARTS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
 class WordCache(dict):
-    """Ids of words by a tokenizers file, as little-endian bytes.
+    """Ids of the chunks between white space, as little-endian bytes; two generations, so frequent ones stay.
 
-    White space ends a token and no normalisation reaches across it in the tokenizers this is
-    used with (``splits_at_space``), so a text's ids are its words' ids in turn.
+    White space ends a token and no normalisation reaches across it in the tokenizers this is used with
+    (``splits_at_space``), so a text's ids are its chunks' ids in turn. Where the tokenizer also
+    lower-cases and cuts letters, digits and signs apart (``cuts_words``), a chunk's ids are its parts'.
     """
 
-    def __init__(self, tokenizer, dtype: str):
-        self.encode, self.dtype = tokenizer.encode, dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = ids
+    def __init__(self, tokenizer, dtype: str, cuts_words: bool):
+        self.tokenizer, self.dtype, self.cuts_words = tokenizer, dtype, cuts_words
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def remember(self, chunk: bytes, ids: bytes) -> None:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+
+    def encode(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            parts = PARTS.findall(chunk) if self.cuts_words and PLAIN.fullmatch(chunk) else ()
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.encode(chunk)
+        if len(chunk) <= CACHED_LENGTH:
+            self.remember(chunk, ids)
         return ids
 
+    def prefetch(self, chunks: set[bytes]) -> None:
+        """Encodes what isn't known yet: the words of all chunks in long runs, which costs less than one by one."""
+        if not self.cuts_words:
+            return
+        new = [c for c in chunks if c not in self and c not in self.old and len(c) <= CACHED_LENGTH]
+        parts = {c: PARTS.findall(c) for c in new if not c.isalpha() and PLAIN.fullmatch(c)}
+        words = {c for c in new if c.isalpha()}
+        words.update(w for p in parts.values() for w in p if (w[0] >= 0x80 or w[:1].isalpha()) and w not in self and w not in self.old)
+        words = list(words)
+        for low in range(0, len(words), 500):
+            run = words[low : low + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(run).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(run):  # a word that isn't one run of letters to the tokenizer
+                continue
+            data, size = ids.tobytes(), ids.itemsize
+            start = 0
+            for w, end in zip(run, (ends * size).tolist(), strict=True):
+                self.remember(w, data[start:end])
+                start = end
+        for c, p in parts.items():
+            if len(p) > 1:
+                self.remember(c, b"".join(map(self.__getitem__, p)))
+
 
 _loaded: dict[str, tuple] = {}
 
@@ -72,7 +121,7 @@ def load(path: str):
         t.encode_special_tokens = True  # their strings in a text are ordinary text
         dtype = id_type(t.get_vocab_size())
         spec = json.loads(t.to_str())
-        _loaded[path] = t, WordCache(t, dtype) if splits_at_space(spec) else None, dtype
+        _loaded[path] = t, WordCache(t, dtype, cuts_words(spec)) if splits_at_space(spec) else None, dtype
     return _loaded[path]
 
 
@@ -85,16 +134,32 @@ def splits_at_space(spec: dict) -> bool:
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     first = steps[0] if steps else {}
-    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in str(first.get("pattern"))
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and r"[^\s" in (first.get("pattern") or {}).get("Regex", "")
     return drops or first.get("type") in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer")
 
 
-def encode_text(loaded, raw: bytes) -> bytes:
-    """Ids of a whole text, as little-endian bytes."""
+def cuts_words(spec: dict) -> bool:
+    """Whether it is of the kind that lower-cases and takes runs of letters, single digits and runs of signs as words."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        and pre[0]["pattern"] == {"Regex": pattern}
+        and spec["model"].get("end_of_word_suffix") == "</w>"
+    )
+
+
+def encode_texts(loaded, raws: list[bytes]) -> list[bytes]:
+    """Ids of whole texts, as little-endian bytes."""
     tokenizer, words, dtype = loaded
     if words is None:
-        return np.array(tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype).tobytes()
-    return b"".join(map(words.__getitem__, raw.split()))  # split() cuts at ASCII white space only
+        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch([r.decode() for r in raws], add_special_tokens=False)]
+    lower = lambda r: r.lower() if words.cuts_words and not r.translate(None, COMMON) else r
+    chunks = [lower(r).split() for r in raws]  # of bytes: ASCII letters and white space only
+    words.prefetch(set().union(*chunks))
+    return [b"".join(map(words.__getitem__, c)) for c in chunks]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> list[Part]:
@@ -120,12 +185,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
             offsets.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 ends = []
-                for x in batch.column(1).cast(pa.binary()):
-                    data = encode_text(loaded, x.as_py() or b"")
-                    out.write(data)
-                    out.write(end)
-                    tokens += (len(data) + len(end)) // dtype.itemsize
-                    ends.append(tokens)
+                raws = batch.column(1).cast(pa.binary())
+                for low in range(0, len(raws), TEXTS):
+                    for data in encode_texts(loaded, [x.as_py() or b"" for x in raws[low : low + TEXTS]]):
+                        out.write(data)
+                        out.write(end)
+                        tokens += (len(data) + len(end)) // dtype.itemsize
+                        ends.append(tokens)
                 docs_n += len(ends)
                 offsets.write(np.array(ends, "<i8").tobytes())
                 ids.write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())

@@ -107,6 +107,18 @@ def test_token_files_round_trip(spark):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_words_of_token_files_are_the_whole_texts():
+    loaded = token_files.load(P.path("word_bpe_49k.json"))
+    assert loaded[1] is not None and loaded[1].cuts_words
+    r = random.Random(4)
+    letters = "aAbB'sStT re ll!!?..#=1 23_-é É Ø ß İ ŉ ǅ ñ × ÷ ª ² \u0338 \u0301 \u0308 日 \x1c\x85  <|endoftext|> x"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    for low in range(0, len(texts), 100):
+        part = texts[low : low + 100]
+        for text, raw in zip(part, token_files.encode_texts(loaded, [t.encode() for t in part]), strict=True):
+            assert np.frombuffer(raw, loaded[2]).tolist() == loaded[0].encode(text, add_special_tokens=False).ids, text
+
+
 # SimHash
 
 
@@ -223,11 +235,12 @@ def test_suffix_dedup_is_exact(spark):
     hit, cut = brute_repeats(list(enumerate(texts)), 50)
     assert hit
     docs = frame(spark, texts)
-    found = {x.doc_id: x for x in suffix_dedup.repeats(spark, docs.repartition(5)).collect()}
     covered = lambda spans: {k for s in spans for k in range(s.start, s.end)}
-    assert set(found) == set(hit)
-    for i, x in found.items():
-        assert covered(x.spans) == hit[i] and covered(x.cuts) == cut[i]
+    for hot in (suffix_dedup.HOT, 8, 0):
+        found = {x.doc_id: x for x in suffix_dedup.repeats(spark, docs.repartition(5), hot=hot).collect()}
+        assert set(found) == set(hit)
+        for i, x in found.items():
+            assert covered(x.spans) == hit[i] and covered(x.cuts) == cut[i]
     kept = {x.doc_id: x for x in suffix_dedup.cut_repeats(spark, docs).collect()}
     for i, t in enumerate(texts):
         words = (t or "").split()
