@@ -14,14 +14,15 @@ size follows from the number of buckets, which grows with the input. Packed rows
 planes of their differences; nothing goes through the driver but the corpus's number of words.
 
 Words are the lower-cased alphanumeric ones; texts without any (null, empty) have a log-probability of 0.
-``docs`` must be a deterministic read, so that a task that is run again makes the same blocks.
+``docs`` is read twice, for the n-grams and for the words, and must be a deterministic read, which the last step
+checks: blocks are known by their content, so it doesn't matter where they are made.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +32,21 @@ from strata.llm.hashing import run_hashes, word_hashes
 ORDER, ALPHA = 3, 0.4
 #: Words in a block, and n-grams in a bucket, about.
 BLOCK, BUCKET = 2_000_000, 4_000_000
-ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
-ROW_SQL = "bucket int, block long, k int, ids array<long>, a binary, b binary"
+ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+ROW_SQL = "bucket int, block long, k int, ids array<long>, a binary, b binary, c binary"
+CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The array's bytes plane by plane, which compresses where leading bytes are alike."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """The array's bytes plane by plane, compressed: leading bytes are mostly alike, and entropy coding halves small counts."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
 
 
-def unplanes(raw: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+def unplanes(packed: bytes, dtype: str) -> np.ndarray:
+    size, n = np.dtype(dtype).itemsize, int.from_bytes(packed[:8], "little")
+    raw = CODEC.decompress(packed[8:], n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel() if n else np.zeros(0, dtype)
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -74,47 +78,54 @@ class Block:
         self.parts.append(h)
         self.size += len(h)
 
-    def rows(self, number: int, buckets: int, order: int):
-        """Rows of the block's distinct n-grams by bucket, and one of its words (k = 0) for a bucket to carry."""
+    def name(self, h: np.ndarray) -> int:
+        """The same wherever and whenever the block is made; blocks of equal content share it, and their answers."""
+        digest = xxhash.xxh64(h.tobytes())
+        digest.update(repr((self.ids, self.lengths)).encode())
+        return digest.intdigest() - (1 << 63)
+
+    def rows(self, buckets: int, order: int, words: bool):
+        """With ``words`` the row of the block's words (k = 0), else those of its distinct n-grams by bucket."""
         h, lengths = np.concatenate([*self.parts, np.zeros(0, np.uint64)]), np.array(self.lengths, np.int64)
-        vocabulary, inverse = np.unique(h, return_inverse=True)
-        payload = len(vocabulary).to_bytes(8, "little") + pack_sorted(vocabulary) + planes(inverse.astype("<u4"))
-        yield (number * 7919) % buckets, number, 0, self.ids, planes(lengths.astype("<u8")), payload
+        number = self.name(h)
+        if words:
+            vocabulary, inverse = np.unique(h, return_inverse=True)
+            yield 0, number, 0, self.ids, planes(lengths.astype("<u8")), pack_sorted(vocabulary), planes(inverse.astype("<u4"))
+            return
         cuts = (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)) if buckets > 1 else np.zeros(0, np.uint64)
         for k in range(1, order + 1):
             distinct, n = np.unique(grams(h, lengths, k)[0], return_counts=True)
             edges = np.concatenate(([0], np.searchsorted(distinct, cuts), [len(distinct)]))
             for bucket, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
                 if high > low:
-                    yield bucket, number, k, None, pack_sorted(distinct[low:high]), planes(n[low:high].astype("<u4"))
+                    yield bucket, number, k, None, pack_sorted(distinct[low:high]), planes(n[low:high].astype("<u4")), None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
 
 
-def _explode(docs: DataFrame, buckets: int, order: int, block_words: int) -> DataFrame:
+def _explode(docs: DataFrame, buckets: int, order: int, block_words: int, words: bool) -> DataFrame:
     def run(batches):
-        base, seq, block = TaskContext.get().partitionId() << 24, 0, Block()
+        block = Block()
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 block.add(doc_id, word_hashes(alnum_words(raw)))
                 if block.size >= block_words:
-                    for row in block.rows(base + seq, buckets, order):
+                    for row in block.rows(buckets, order, words):
                         yield _batch([row])
-                    seq, block = seq + 1, Block()
+                    block = Block()
         if block.ids:
-            for row in block.rows(base + seq, buckets, order):
+            for row in block.rows(buckets, order, words):
                 yield _batch([row])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SQL)
 
 
 def _count(t: pa.Table) -> pa.Table:
-    """A bucket: each n-gram's total, sent back to the blocks that asked; the blocks' own rows pass through."""
-    rows = t.to_pylist()
-    out = [tuple(r[f.name] for f in ROW) for r in rows if r["k"] == 0]
-    for k in sorted({r["k"] for r in rows} - {0}):
+    """A bucket: each n-gram's total, sent back to the blocks that asked."""
+    rows, out = t.to_pylist(), []
+    for k in sorted({r["k"] for r in rows}):
         own = [r for r in rows if r["k"] == k]
         asked = [unpack_sorted(r["a"]) for r in own]
         sizes = np.cumsum([len(x) for x in asked])[:-1]
@@ -122,17 +133,24 @@ def _count(t: pa.Table) -> pa.Table:
         n = np.concatenate([unplanes(r["b"], "<u4") for r in own])
         total = np.bincount(inverse, n).astype("<u8")
         for r, answer in zip(own, np.split(total[inverse], sizes), strict=True):
-            out.append((r["bucket"], r["block"], k, None, None, planes(answer)))
+            out.append((r["bucket"], r["block"], k, None, planes(answer), None, None))
     return pa.Table.from_batches([_batch(out)]) if out else ROW.empty_table()
 
 
 def _score(t: pa.Table, order: int, alpha: float) -> pa.Table:
-    """A block: its words again, and every n-gram's total; each document's sums."""
+    """A block (or several of equal content): its words again, and every n-gram's total; each document's sums."""
     rows = t.to_pylist()
-    own = next(r for r in rows if r["k"] == 0)
+    answers: dict[int, dict[int, bytes]] = {k: {} for k in range(1, order + 1)}
+    for r in rows:
+        if r["k"]:
+            answers[r["k"]][r["bucket"]] = r["a"]
+    totals = {k: np.concatenate([*(unplanes(a[b], "<u8") for b in sorted(a)), np.zeros(0, "<u8")]) for k, a in answers.items()}
+    return pa.concat_tables([_score_block(r, totals, order, alpha) for r in rows if r["k"] == 0])
+
+
+def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: float) -> pa.Table:
     lengths = unplanes(own["a"], "<u8").astype(np.int64)
-    m = int.from_bytes(own["b"][:8], "little")
-    h = unpack_sorted(own["b"][8 : 8 + 8 * m])[unplanes(own["b"][8 + 8 * m :], "<u4")]
+    h = unpack_sorted(own["b"])[unplanes(own["c"], "<u4")]
     doc = np.repeat(np.arange(len(lengths)), lengths)
     n = len(h)
     log, level = np.zeros(n), np.zeros(n, np.int8)
@@ -140,9 +158,10 @@ def _score(t: pa.Table, order: int, alpha: float) -> pa.Table:
     terms = []
     for k in range(1, order + 1):
         hashes, at = grams(h, lengths, k)
-        answers = [unplanes(r["b"], "<u8") for r in sorted((r for r in rows if r["k"] == k), key=lambda r: r["bucket"])]
-        total = np.concatenate([*answers, np.zeros(0, "<u8")])
+        total = totals[k]
         distinct, inverse = np.unique(hashes, return_inverse=True)
+        if len(total) != len(distinct):
+            raise RuntimeError("the documents were read differently the second time; score() needs a deterministic read")
         pair = doc[at] * max(1, len(distinct)) + inverse
         _, back, mine = np.unique(pair, return_inverse=True, return_counts=True)
         outside = np.zeros(n)
@@ -171,8 +190,9 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, alpha: float
     and how many words were scored by a full n-gram (n_full) and by their own frequency alone (n_unigrams)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(20_000, max(8, size // 6 * order // bucket_grams + 1)))
-    answered = _explode(docs, buckets, order, block_words).groupBy("bucket").applyInArrow(_count, ROW_SQL)
-    summed = answered.groupBy("block").applyInArrow(
+    answered = _explode(docs, buckets, order, block_words, False).groupBy("bucket").applyInArrow(_count, ROW_SQL)
+    rows = _explode(docs, buckets, order, block_words, True).unionByName(answered)
+    summed = rows.groupBy("block").applyInArrow(
         lambda t: _score(t, order, alpha), "doc_id long, n_words long, log_terms double, n_unigrams long, n_full long"
     )
     summed = staged(spark, summed, "lm-sums")
