@@ -1,10 +1,12 @@
 """Toxicity scores of restored text.
 
-Noisy channel: a token that looks disguised (digits or signs among letters, letters apart, a letter three
-times or more) becomes a lattice of what each character may stand for: itself, the letters a sign is
-written for, nothing (separators, repeats) or a word break. A Viterbi search under a character trigram model of
-the whole corpus picks the likeliest reading. The restored text's words and their beginnings are the features
-of a logistic regression.
+Noisy channel: whatever looks disguised (digits or signs among letters, separators among letters, letters and
+signs apart, a letter three times or more) becomes a lattice of what each character may stand for: itself, the
+letters a sign is written for, nothing (separators, repeats) or a word break. A Viterbi search under a character
+trigram model of the whole corpus picks the likeliest reading, and the likeliest without breaks for signs. A token
+is cut at its punctuation; where separators stand inside, its parts are read and the whole is, as either may be
+meant. Digits without a letter stay numbers. The restored text's words and their beginnings are the features of a
+logistic regression.
 
 The character model counts all texts. The classifier is fitted on at most ``max_rows`` labelled rows, taken by a
 hash of their id; its features are the ``features`` of these rows' words and word beginnings, hashed, that tell
@@ -41,10 +43,17 @@ ALPHABET = 28  # a break, a to z, any other letter
 
 LETTERS = bytes(c - 0x40 if 0x41 <= c <= 0x5A else c - 0x60 if 0x61 <= c <= 0x7A else 27 if c >= 0xC0 else 0 for c in range(256))
 INNER = bytes(range(0x80, 0xC0))
-SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[\s.\-_*~]{1,3}[^\W\d_]){2,}(?![^\W\d_])")
+#: Character classes: letters and digits; the other signs of LEET; SEPARATORS.
+SIGNS, BETWEEN = re.escape("".join(c for c in LEET if not c.isalnum())), re.escape(SEPARATORS)
+#: Single letters and signs apart; what punctuation leaves of a token; its separators.
+SPACED = re.compile(rf"(?<![^\W_])(?!_)[\w{SIGNS}](?:[\s{BETWEEN}]+(?!_)[\w{SIGNS}]){{2,}}(?![^\W_])")
+RUN = re.compile(rf"[\w{SIGNS}{BETWEEN}]+")
+CUT = re.compile(rf"[\s{BETWEEN}]+")
 PLAIN = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: Signs at an edge are punctuation, or letters in a second reading if they are seldom punctuation there.
 EDGE = re.compile(r"^[^\w@$€]+|[^\w]+$")
+WIDE = re.compile(r"^[^\w@$€£¡!|+]+|[^\w@$€£¡|+]+$")
 
 
 def symbol(c: str) -> int:
@@ -77,8 +86,8 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return counts.reshape(ALPHABET, ALPHABET, ALPHABET)
 
 
-def lattice(observed: str):
-    """For each place the readings (text, log cost)."""
+def lattice(observed: str, breaks: bool = True):
+    """For each place the readings (text, log cost); without ``breaks`` signs are letters only."""
     i, n = 0, len(observed)
     while i < n:
         c, j = observed[i], i + 1
@@ -91,19 +100,19 @@ def lattice(observed: str):
                 yield [(c * (j - i), 0.0)]
         elif c in LEET:
             for _ in range(min(j - i, 2)):
-                yield [(x, SIGN) for x in LEET[c]] + [(" ", BREAK)]
-        elif c in SEPARATORS:
+                yield [(x, SIGN) for x in LEET[c]] + ([(" ", BREAK)] if breaks else [])
+        elif c in SEPARATORS or c.isspace():
             yield [("", DROP), (" ", BREAK)]
         else:
             yield [(" ", 0.0)]
         i = j
 
 
-def restore(observed: str, model: CharacterModel) -> str:
+def restore(observed: str, model: CharacterModel, breaks: bool = True) -> str:
     """The likeliest reading of a disguised token or run of letters."""
     logs = model.logs
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings in [*lattice(observed), [(" ", 0.0)]]:
+    for readings in [*lattice(observed, breaks), [(" ", 0.0)]]:
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in best.items():
             for text, cost in readings:
@@ -128,20 +137,41 @@ def disguised(core: str) -> bool:
     """Whether a token without its punctuation should be decoded."""
     if core.isalpha():
         return bool(TRIPLE.search(core))
-    signs = sum(c in LEET for c in core)
-    letters = sum(c.isalpha() for c in core)
-    others = len(core) - signs - letters
-    if signs and letters >= max(1, signs - 1) and not others:
-        return True
-    parts = re.split(r"[.\-_*~]+", core)
-    return len(parts) > 2 and all(len(p) == 1 for p in parts) or bool(TRIPLE.search(core))
+    return any(c.isalpha() for c in core) and any(c in LEET or c in SEPARATORS for c in core)
+
+
+def restored(core: str, model: CharacterModel) -> list[str]:
+    """Words of the likeliest reading, and of the likeliest with a letter for every sign."""
+    found = PLAIN.findall(restore(core, model))
+    if any(c in LEET for c in core):
+        found += PLAIN.findall(restore(core, model, breaks=False))
+    return found
 
 
 def words_of(token: str, model: CharacterModel) -> list[str]:
-    core = EDGE.sub("", token)
-    if disguised(core):
-        return PLAIN.findall(restore(core, model))
-    return PLAIN.findall(core)
+    found: list[str] = []
+    for run in RUN.findall(token):
+        parts = [p for p in CUT.split(run) if p]
+        apart = len(parts) > 2 and all(len(p) == 1 for p in parts)
+        for part in [*([] if apart else parts), *([run] if len(parts) > 1 else [])]:
+            for core in {EDGE.sub("", part): 0, WIDE.sub("", part): 0}:
+                found += restored(core, model) if disguised(core) else PLAIN.findall(core)
+    return list(dict.fromkeys(found))
+
+
+def words_apart(text: str, model: CharacterModel) -> set[str]:
+    """Words of which single letters and signs stand apart.
+
+    One before them may be a word of its own and signs around them numbers, so each run is also read without these.
+    """
+    found: set[str] = set()
+    for run in SPACED.finditer(text):
+        letters = [i for i, c in enumerate(run[0]) if c.isalpha()]
+        if letters:
+            spans = {(0, len(run[0])), (CUT.search(run[0]).end(), len(run[0])), (letters[0], letters[-1] + 1)}
+            for low, high in spans:
+                found.update(restored(run[0][low:high], model))
+    return found
 
 
 def beginnings(word: str) -> list[int]:
@@ -169,19 +199,14 @@ class Reader(dict):
         text = text.lower()
         tokens = text.split()
         found: set[int] = set()
-        if sum(map(SINGLE.__contains__, tokens)) > 2:
-            for run in SPACED.finditer(text):
-                for word in PLAIN.findall(restore(run[0], self.model)):
-                    found.update(self[word])
+        for word in words_apart(text, self.model):
+            found.update(self[word])
         for ids in map(self.__getitem__, set(tokens)):
             if ids:
                 found.update(ids)
         return found
 
 
-SINGLE = frozenset("abcdefghijklmnopqrstuvwxyz") | {x + y for x in "abcdefghijklmnopqrstuvwxyz" for y in ".-_*"}
-
-
 @dataclass
 class Classifier:
     characters: CharacterModel

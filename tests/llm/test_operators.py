@@ -466,3 +466,31 @@ def test_toxicity_scores(spark):
     none = toxicity.toxicity(spark, docs, given.where("false")).collect()
     assert len(none) == len(texts)
     assert toxicity.toxicity(spark, docs.where("false"), given).count() == 0
+
+
+def test_toxicity_of_every_disguise(spark):
+    r = random.Random(6)
+    plain = "the of and to in is that it was for on are with as his they be at one have this from word what some we can out other were all there when up use your how said each she which their time will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than call first who may down side been now find head".split()
+    bad = ["idiot", "moron", "stupid", "shit"]
+    prose_of = lambda: [r.choice(plain) for _ in range(40)]
+    texts, labels = [], []
+    for i in range(800):
+        words = prose_of()
+        if i % 4 == 0:
+            words[r.randrange(40)] = bad[i // 4 % 4]
+        texts.append(" ".join(words))
+        labels.append((i, int(i % 4 == 0)))
+    known = frame(spark, texts)
+    model = toxicity.fit(known, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    disguises = ["sh1t-head", "you,id1ot", "5h17", "1d107", "i,d,i,o,t", "i/d/i/o/t", "i\\d\\i\\o\\t", "st_u_pid", "mo.ron", "1 d 1 0 t", "what a 1 d 1 0 t 2", "3 i d i o t s", "$ t u p 1 d", "i, d, i, o, t", "m · 0 · r · 0 · n", "sh1t's", "(1d10t!)", "sh!+", "st-up1d", "id1ot", "m.o.r.o.n", "stuuuupid", "i d i o t"]
+    clean = ["head-long", "time,water", "2024", "10,000", "1 2 3 4 5", "1,2,3", "find/see", "(thing)", "don't", "2 a 3", "a b c", "they're,no"]
+    planted = []
+    for x in [*disguises, *clean]:
+        words = prose_of()
+        words[20] = x
+        planted.append(" ".join(words))
+    found = {x.doc_id: x.predicted for x in toxicity.score(frame(spark, planted), model).collect()}
+    wrong = [x for i, x in enumerate([*disguises, *clean]) if found[i] != (i < len(disguises))]
+    assert not wrong
+    assert toxicity.words_of("sh1t-head", model.characters)[:2] == ["shit", "head"] and toxicity.words_of("10,000", model.characters) == []
+    assert toxicity.words_of("i,d,i,o,t", model.characters) == ["idiot"] and "idiot" in toxicity.words_of("1d107", model.characters)
