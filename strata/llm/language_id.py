@@ -2,8 +2,8 @@
 
 The posterior of a language multiplies
 - the text's likelihood: hashed byte trigrams of its letters under a naive Bayes model, tempered since
-  neighbouring trigrams overlap. The model is fitted on at most ``per_language`` labelled rows of each
-  language, taken by a hash of their id;
+  neighbouring trigrams overlap. The model has every label that occurs, lower-cased and trimmed as what is
+  declared, and is fitted on at most ``per_language`` rows of each, taken by a hash of their id;
 - the declared (markup) language's and the address suffix's likelihoods: how often rows whose text
   alone is clear declare it, by language, smoothed towards its overall share;
 - the prior of the host: the languages of its clear rows, smoothed towards its domain's, and these
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from strata.llm.common import raw_texts, remembered, staged
 
 FEATURES = 1 << 15
-PER_LANGUAGE, LANGUAGES = 5_000, 64
+PER_LANGUAGE = 5_000
+#: Languages up to which the weights are one dense table, and of which a worker counts at once; more are kept sparse.
+DENSE = 64
 TEMPER, SMOOTH, STRENGTH = 1 / 3, 0.5, 20.0
 CLEAR, CONFIDENCE = 0.95, 0.5
 #: Bytes looked at in one step.
@@ -47,56 +49,104 @@ def trigrams(raw: bytes):
         yield ((a * 961 + b * 31 + c) * np.uint32(2654435761) >> np.uint32(17))[(a != 32) | (b != 32) | (c != 32)]
 
 
+def normal(c: Column) -> Column:
+    """A language tag, address suffix or host as it is compared."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+
 @dataclass
 class TextModel:
     languages: list[str]
-    weights: np.ndarray  # log P(trigram | language), a row for each trigram
+    #: log P(trigram | language). Dense: a row for each trigram. Sparse: what a trigram adds to ``base``, the
+    #: weight of trigrams that a language hasn't, for the languages ``who`` between two of ``starts``.
+    weights: np.ndarray
+    base: np.ndarray | None = None
+    who: np.ndarray | None = None
+    starts: np.ndarray | None = None
 
     def score(self, raw: bytes) -> tuple[int, np.ndarray]:
         """Number of trigrams, and log-likelihoods by language."""
         n, total = 0, np.zeros(len(self.languages))
         for x in trigrams(raw):
             n += len(x)
-            total += self.weights[x].sum(axis=0, dtype=np.float64)
-        return n, total
+            if self.base is None:
+                total += self.weights[x].sum(axis=0, dtype=np.float64)
+                continue
+            ids, times = np.unique(x, return_counts=True)
+            low, sizes = self.starts[ids], self.starts[ids + 1] - self.starts[ids]
+            at = np.arange(sizes.sum()) + np.repeat(low - np.cumsum(sizes) + sizes, sizes)
+            total += np.bincount(self.who[at], self.weights[at] * np.repeat(times, sizes), len(total))
+        return n, total if self.base is None else total + n * self.base
 
 
 def fit(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_language: int = PER_LANGUAGE) -> TextModel:
-    """From labelled rows. The driver gets counts by language and trigram, at most LANGUAGES * FEATURES numbers."""
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
-    languages = sorted(r[0] for r in counts)
+    """From labelled rows. The driver gets the labels, and the weights of the trigrams that each language's sample has."""
+    labelled = rows.select(normal(F.col(label).cast("string")).alias("label"), F.xxhash64(key).alias("at"), F.col(text).alias("text")).where("label is not null")
+    counts = labelled.groupBy("label").count().collect()
     scale = 1 << 30
-    share = {r[0]: min(scale, per_language * scale // r[1]) for r in counts}
-    limit = F.coalesce(*[F.when(F.col(label) == k, F.lit(v)) for k, v in share.items()], F.lit(0)) if share else F.lit(0)
-    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(scale)) < limit).select(F.col(label).cast("string"), text)
-    number = {k: i for i, k in enumerate(languages)}
+    share = sorted((r[0], min(scale, per_language * scale // r[1])) for r in counts)
+    languages = [k for k, _ in share]
+    if not languages:
+        return TextModel([], np.zeros((FEATURES, 0), np.float32))
+    shares = rows.sparkSession.createDataFrame([(k, i, v) for i, (k, v) in enumerate(share)], "label string, language int, share long")
+    sample = labelled.join(F.broadcast(shares), "label").where(F.pmod("at", F.lit(scale)) < F.col("share")).select("language", "text")
+
+    def batch_of(languages, sparse, kind):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(languages, pa.int32()), pa.array([i.astype("<u2").tobytes() for i, _ in sparse], pa.binary()), pa.array([x.astype(kind).tobytes() for _, x in sparse], pa.binary())],
+            names=["language", "ids", "numbers"],
+        )
 
     def run(batches):
         remembered("language_id")
-        own = np.zeros((max(1, len(number)), FEATURES), np.int64)
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
+                if k not in own:
+                    if len(own) >= DENSE:
+                        yield batch_of(list(own), [(i := np.flatnonzero(x), x[i]) for x in own.values()], "<i8")
+                        own.clear()
+                    own[k] = np.zeros(FEATURES, np.int64)
                 for x in trigrams(raw):
-                    own[number[k]] += np.bincount(x, minlength=FEATURES)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i in range(len(number)) if own[i].any()], pa.int32()), pa.array([row.astype("<i8").tobytes() for row in own if row.any()], pa.binary())],
-            names=["language", "counts"],
-        )
+                    own[k] += np.bincount(x, minlength=FEATURES)
+        yield batch_of(list(own), [(i := np.flatnonzero(x), x[i]) for x in own.values()], "<i8")
+
+    def weigh(total):
+        ids = np.flatnonzero(total)
+        n = total.sum() + SMOOTH * FEATURES
+        return np.append(ids, FEATURES), np.log((np.append(total[ids], 0) + SMOOTH) / n)  # the last is of all other trigrams
 
     def add(batches):
-        own: dict[int, np.ndarray] = {}
+        last, total = None, np.zeros(FEATURES)
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own[i] = own.get(i, 0) + np.frombuffer(raw, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], names=["language", "counts"])
-
-    schema = "language int, counts binary"
-    found = sample.mapInArrow(run, schema).repartition("language").mapInArrow(add, schema).collect()
-    total = np.zeros((len(languages), FEATURES))
-    for r in found:
-        total[r.language] += np.frombuffer(r.counts, "<i8")
-    weights = np.log((total + SMOOTH) / (total.sum(axis=1, keepdims=True) + SMOOTH * FEATURES))
-    return TextModel(languages, np.ascontiguousarray(weights.T.astype(np.float32)))
+            for k, ids, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != last and last is not None:
+                    yield batch_of([last], [weigh(total)], "<f4")
+                    total[:] = 0
+                last = k
+                total[np.frombuffer(ids, "<u2")] += np.frombuffer(numbers, "<i8")
+        if last is not None:
+            yield batch_of([last], [weigh(total)], "<f4")
+
+    schema = "language int, ids binary, numbers binary"
+    found = {r.language: (np.frombuffer(r.ids, "<u2"), np.frombuffer(r.numbers, "<f4")) for r in sample.mapInArrow(run, schema).repartition("language").sortWithinPartitions("language").mapInArrow(add, schema).toLocalIterator()}
+    none = np.full(len(languages), -np.log(FEATURES))
+    for k, (ids, x) in found.items():
+        none[k], found[k] = x[-1], (ids[:-1], x[:-1])
+    if len(languages) <= DENSE:
+        weights = np.tile(none.astype(np.float32), (FEATURES, 1))
+        for k, (ids, x) in found.items():
+            weights[ids, k] = x
+        return TextModel(languages, weights)
+    sizes = np.zeros(FEATURES + 1, np.int64)
+    for ids, _ in found.values():
+        sizes[ids.astype(np.int64) + 1] += 1
+    starts = np.cumsum(sizes)
+    who, weights, free = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], np.float32), starts[:-1].copy()
+    for k, (ids, x) in found.items():
+        who[free[ids]], weights[free[ids]] = k, x - none[k]
+        free[ids] += 1
+    return TextModel(languages, weights, none, who, starts)
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, names: list[str]) -> DataFrame:
@@ -127,6 +177,20 @@ def _add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def _counted(clear: DataFrame, key: str) -> DataFrame:
+    """Clear rows by key and language of their text."""
+    return clear.where(F.col(key).isNotNull()).groupBy(key, "_text").agg(F.count("*").cast("double").alias("c"))
+
+
+def _by_key(counted: DataFrame, *keys: str) -> DataFrame:
+    """A row for each key: m, its counts by language, and t, their sum."""
+    return counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_text", "c"))).alias("m"), F.sum("c").alias("t"))
+
+
+def _of(counts: str, i: Column) -> Column:
+    return F.coalesce(F.try_element_at(counts, i), F.lit(0.0))
+
+
 def identify(
     spark: SparkSession, rows: DataFrame, model: TextModel, keys: list[str], text: str = "text",
     declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, confidence: float = CONFIDENCE,
@@ -134,7 +198,7 @@ def identify(
     """A row for each of ``rows``: its keys, lang, confidence, accepted and text_lang (by the text alone)."""
     size = len(model.languages)
     own = [c if c is not None else F.lit(None).cast("string") for c in (declared, suffix, host)]
-    ready = rows.select(*keys, *(F.nullif(F.lower(F.trim(c)), F.lit("")).alias(n) for c, n in zip(own, ("_declared", "_suffix", "_host"), strict=True)), text)
+    ready = rows.select(*keys, *(normal(c).alias(n) for c, n in zip(own, ("_declared", "_suffix", "_host"), strict=True)), text)
     names = [*keys, "_declared", "_suffix", "_host"]
     if not size:
         return rows.select(*keys, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang"))
@@ -143,31 +207,29 @@ def identify(
     scored = scored.withColumn("_text", F.when(F.col("n") > 0, (F.array_position("_p", F.col("_best")) - 1).cast("int")))
     scored = staged(spark, scored.drop("_p"), "likelihoods")
     clear = scored.where((F.col("_best") >= CLEAR) & F.col("_text").isNotNull())
-    count = lambda i: F.count_if(F.col("_text") == i).cast("double")
-    whole = clear.agg(*[count(i).alias(str(i)) for i in range(size)]).first()
-    overall = [((whole[i] or 0.0) + 1) / (sum(whole[j] or 0.0 for j in range(size)) + size) for i in range(size)]
-    logs = F.when(F.col("n") > 0, F.col("ll")).otherwise(F.array_repeat(F.lit(0.0), size))
+    whole = {r[0]: r[1] for r in clear.groupBy("_text").count().collect()}
+    overall = [(whole.get(i, 0) + 1) / (sum(whole.values()) + size) for i in range(size)]
+    neutral = F.array_repeat(F.lit(0.0), size)
+    logs = F.when(F.col("n") > 0, F.col("ll")).otherwise(neutral)
     fused, used_host = scored, host is not None
     for name, given in (("_declared", declared), ("_suffix", suffix)):
         if given is None:
             continue
-        table = clear.where(F.col(name).isNotNull()).groupBy(name).agg(*[count(i).alias(f"c{i}") for i in range(size)])
-        seen = clear.where(F.col(name).isNotNull()).agg(*[count(i) for i in range(size)]).first()
-        n_all = max(1.0, sum(x or 0.0 for x in seen))
-        row_total = sum((F.col(f"c{i}") for i in range(1, size)), F.col("c0"))
-        likelihood = F.array(*[F.log((F.col(f"c{i}") + STRENGTH * row_total / n_all) / ((seen[i] or 0.0) + STRENGTH)) for i in range(size)])
+        counted = _counted(clear, name)
+        seen = {r[0]: r[1] for r in counted.groupBy("_text").agg(F.sum("c")).collect()}
+        n_all = max(1.0, sum(seen.values()))
+        table, given_n = _by_key(counted, name), F.array(*[F.lit(seen.get(i, 0.0)) for i in range(size)])
+        likelihood = F.transform(given_n, lambda s, i: F.log((_of("m", i) + STRENGTH * F.col("t") / n_all) / (s + STRENGTH)))  # noqa: B023
         fused = fused.join(table.select(F.col(name).alias(f"{name}_k"), likelihood.alias(f"{name}_l")), F.col(name) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
-        logs = _add(logs, F.coalesce(f"{name}_l", F.array_repeat(F.lit(0.0), size)))
+        logs = _add(logs, F.coalesce(f"{name}_l", neutral))
     prior = F.array(*[F.lit(float(np.log(p))) for p in overall])
     if used_host:
-        hosts = clear.where("_host is not null").groupBy("_host").agg(*[count(i).alias(f"c{i}") for i in range(size)])
-        hosts = hosts.withColumn("_domain", F.concat_ws(".", F.slice(F.split("_host", r"\."), F.greatest(F.size(F.split("_host", r"\.")) - 1, F.lit(1)), 2)))
-        domains = hosts.groupBy("_domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(size)])
-        n_host = sum((F.col(f"c{i}") for i in range(1, size)), F.col("c0"))
-        n_domain = sum((F.col(f"d{i}") for i in range(1, size)), F.col("d0"))
-        of_domain = [(F.col(f"d{i}") + STRENGTH * overall[i]) / (n_domain + STRENGTH) for i in range(size)]
-        of_host = F.array(*[F.log((F.col(f"c{i}") + STRENGTH * of_domain[i]) / (n_host + STRENGTH)) for i in range(size)])
-        hosts = hosts.join(domains, "_domain").select(F.col("_host").alias("_host_k"), of_host.alias("_host_l"))
+        parts = F.split("_host", r"\.")
+        counted = _counted(clear, "_host").withColumn("_domain", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)))
+        domains = _by_key(counted.groupBy("_domain", "_text").agg(F.sum("c").alias("c")), "_domain").withColumnsRenamed({"m": "dm", "t": "dt"})
+        of_domain = lambda p, i: (_of("dm", i) + STRENGTH * p) / (F.col("dt") + STRENGTH)
+        of_host = F.transform(F.array(*[F.lit(p) for p in overall]), lambda p, i: F.log((_of("m", i) + STRENGTH * of_domain(p, i)) / (F.col("t") + STRENGTH)))
+        hosts = _by_key(counted, "_host", "_domain").join(domains, "_domain").select(F.col("_host").alias("_host_k"), of_host.alias("_host_l"))
         fused = fused.join(hosts, F.col("_host") == F.col("_host_k"), "left")
         prior = F.coalesce("_host_l", prior)
     fused = fused.withColumn("_post", _posterior(_add(logs, prior))).withColumn("confidence", F.array_max("_post"))

@@ -434,6 +434,35 @@ def test_language_evidence(spark):
     assert language_id.keep_identified(spark, docs.where("false")).count() == 0
 
 
+def test_every_language_is_fitted(spark):
+    r = random.Random(10)
+    names = [f"x{i}" for i in range(90)] + ["en"]
+    vocabulary = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 8))) for _ in range(12)] for k in names}
+    rows = []
+    for k in names:
+        for j in range(8 if k < "x70" else 4):
+            tag = ("en", "EN", " En ", "eN")[j % 4] if k == "en" else k
+            rows.append((len(rows), " ".join(r.choice(vocabulary[k]) for _ in range(60)), tag, "src0", 1))
+    docs = spark.createDataFrame([*rows, (9999, "no label here", " ", "src0", 1)], DOCS)
+    model = language_id.fit(docs, "lang")
+    assert model.languages == sorted(names)
+    found = {x.doc_id: x for x in language_id.identify(spark, docs, model, ["doc_id"]).collect()}
+    assert all(found[i].text_lang == found[i].lang == tag.strip().lower() for i, _, tag, _, _ in rows)
+    found = {x.doc_id: x for x in language_id.identify_documents(spark, docs).collect()}
+    assert all(found[i].lang == tag.strip().lower() for i, _, tag, _, _ in rows)
+
+
+def test_sparse_weights_are_the_dense_ones(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    dense = language_id.fit(docs, "lang")
+    monkeypatch.setattr(language_id, "DENSE", 1)
+    sparse = language_id.fit(docs, "lang")
+    assert sparse.base is not None and dense.base is None and sparse.languages == dense.languages
+    for r in docs.limit(50).collect():
+        (n, x), (m, y) = (model.score((r.text or "").encode()) for model in (dense, sparse))
+        assert n == m and np.allclose(x, y, rtol=1e-5)
+
+
 # toxicity
 
 
