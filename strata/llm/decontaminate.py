@@ -127,7 +127,7 @@ def decontaminate(
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")
     if not small(benchmark, broadcast_bytes):
-        return _by_shuffle(docs, benchmark, width, min_items)
+        return _by_shuffle(docs, benchmark, width, min_items).drop("h")
     index = _broadcast_index(docs, benchmark, width)
 
     def run(batches):
@@ -155,10 +155,12 @@ def _broadcast_index(docs: DataFrame, benchmark: DataFrame, width: int):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = MIN_ITEMS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without its contaminated rows, all columns kept."""
+    """``docs`` without its contaminated rows, all columns kept; each row is judged by its own text."""
     if not small(benchmark, broadcast_bytes):
-        found = _by_shuffle(docs.select("doc_id", "text"), benchmark, width, min_items).where("contaminated").select("doc_id").distinct()
-        return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+        found = _by_shuffle(docs.select("doc_id", "text"), benchmark, width, min_items).where("contaminated")
+        found = found.select(F.col("doc_id").alias("_strata_d"), F.col("h").alias("_strata_h")).distinct()
+        on = F.col("doc_id").eqNullSafe(F.col("_strata_d")) & (F.xxhash64("text") == F.col("_strata_h"))
+        return docs.join(found.hint("shuffle_hash"), on, "left_anti")
     index = _broadcast_index(docs, benchmark, width)
     at = docs.columns.index("text")
 
@@ -176,7 +178,7 @@ def _token(gram: tuple) -> int:
 
 
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame, width: int, min_items: int) -> DataFrame:
-    """The same rows by a join on the prefix tokens' hashes.
+    """The same rows, and h, the hash of each one's text, by a join on the prefix tokens' hashes.
 
     A bitmap of the benchmark's hashes, ``1 << BITMAP`` bits whatever its size, keeps most document
     positions out of the shuffle; those that pass carry the words around them for the exact comparison.
@@ -252,6 +254,6 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, width: int, min_items: in
         found = found.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g")), "left").drop("d", "g")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(items) >= min_items).alias("contaminated"),
     )

@@ -306,6 +306,17 @@ def test_decontaminate_both_ways(spark):
     assert decontaminate.decontaminate(docs, benchmark.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_keep_clean_judges_each_row_by_its_text(spark):
+    benchmark = spark.createDataFrame([(0, prose(1, 12)), (1, prose(2, 12))], "item_id long, text string")
+    bad, clean = prose(1, 12) + " and " + prose(2, 12), prose(3, 30)
+    docs = frame(spark, [bad, clean, bad, clean, None, bad, clean, clean], [1, 1, None, None, None, 2, 3, 3]).withColumnRenamed("source", "h")
+    wanted = [(1, clean), (3, clean), (3, clean), (None, clean), (None, None)]
+    for b in (1 << 20, 0):
+        kept = decontaminate.keep_clean(docs, benchmark, broadcast_bytes=b)
+        assert kept.columns == docs.columns
+        assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=repr) == sorted(wanted, key=repr)
+
+
 # language model
 
 
