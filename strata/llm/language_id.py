@@ -11,6 +11,10 @@ The posterior of a language multiplies
 The last three are grouped aggregations over all rows, joined back by their keys; hosts are never
 collected or broadcast unless adaptive execution finds their table small.
 
+Beside the languages stands the class of no known language: each trigram is as likely as any other under it, it
+declares what all rows declare, and its prior is ``UNKNOWN``. Random letters and scripts outside the model are
+likelier under it; a language that shares many trigrams with one of the model's is taken for that.
+
 Missing evidence (null, or a column not given) is neutral. A text without three letters in a run of
 characters has no likelihood of its own. A row is accepted if some language's posterior reaches
 ``confidence`` and the text itself has letters; null and empty texts are rejected.
@@ -32,7 +36,7 @@ PER_LANGUAGE = 5_000
 #: Languages up to which the weights are one dense table, and of which a worker counts at once; more are kept sparse.
 DENSE = 64
 TEMPER, SMOOTH, STRENGTH = 1 / 3, 0.5, 20.0
-CLEAR, CONFIDENCE = 0.95, 0.5
+CLEAR, CONFIDENCE, UNKNOWN = 0.95, 0.5, 0.01
 #: Bytes looked at in one step.
 STEP = 1 << 18
 
@@ -211,6 +215,7 @@ def identify(
     overall = [(whole.get(i, 0) + 1) / (sum(whole.values()) + size) for i in range(size)]
     neutral = F.array_repeat(F.lit(0.0), size)
     logs = F.when(F.col("n") > 0, F.col("ll")).otherwise(neutral)
+    unknown = F.lit(float(np.log(UNKNOWN))) - F.col("n") * float(TEMPER * np.log(FEATURES))
     fused, used_host = scored, host is not None
     for name, given in (("_declared", declared), ("_suffix", suffix)):
         if given is None:
@@ -220,8 +225,9 @@ def identify(
         n_all = max(1.0, sum(seen.values()))
         table, given_n = _by_key(counted, name), F.array(*[F.lit(seen.get(i, 0.0)) for i in range(size)])
         likelihood = F.transform(given_n, lambda s, i: F.log((_of("m", i) + STRENGTH * F.col("t") / n_all) / (s + STRENGTH)))  # noqa: B023
-        fused = fused.join(table.select(F.col(name).alias(f"{name}_k"), likelihood.alias(f"{name}_l")), F.col(name) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
+        fused = fused.join(table.select(F.col(name).alias(f"{name}_k"), likelihood.alias(f"{name}_l"), F.log(F.col("t") / n_all).alias(f"{name}_u")), F.col(name) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
         logs = _add(logs, F.coalesce(f"{name}_l", neutral))
+        unknown += F.coalesce(f"{name}_u", F.lit(0.0))
     prior = F.array(*[F.lit(float(np.log(p))) for p in overall])
     if used_host:
         parts = F.split("_host", r"\.")
@@ -232,7 +238,7 @@ def identify(
         hosts = _by_key(counted, "_host", "_domain").join(domains, "_domain").select(F.col("_host").alias("_host_k"), of_host.alias("_host_l"))
         fused = fused.join(hosts, F.col("_host") == F.col("_host_k"), "left")
         prior = F.coalesce("_host_l", prior)
-    fused = fused.withColumn("_post", _posterior(_add(logs, prior))).withColumn("confidence", F.array_max("_post"))
+    fused = fused.withColumn("_post", _posterior(F.concat(_add(logs, prior), F.array(unknown)))).withColumn("confidence", F.array_max(F.slice("_post", 1, size)))
     tags = F.array(*[F.lit(x) for x in model.languages])
     best = F.element_at(tags, F.array_position("_post", F.col("confidence")).cast("int"))
     accepted = (F.col("confidence") >= confidence) & (F.col("n") > 0)

@@ -474,6 +474,19 @@ def test_sparse_weights_are_the_dense_ones(spark, data, monkeypatch):
         assert n == m and np.allclose(x, y, rtol=1e-5)
 
 
+def test_junk_and_other_languages_are_rejected(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    r = random.Random(11)
+    junk = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60))
+    other = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью"
+    rows = [(-1, junk, "en", "src0", 1), (-2, other, "en", "src0", 1), (-3, junk, None, None, 1), (-4, other, None, None, 1)]
+    model = language_id.fit(docs, "lang")
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, DOCS))
+    found = {x.doc_id: x for x in language_id.identify(spark, both, model, ["doc_id"], declared=both.lang, host=both.source).collect()}
+    assert not any(found[i].accepted for i in (-1, -2, -3, -4))
+    assert all(found[x.doc_id].accepted for x in docs.collect() if re.search("[a-zA-Z\x80-\U0010ffff]", x.text or ""))
+
+
 # toxicity
 
 
