@@ -54,6 +54,15 @@ def value_bytes(column: Column, dtype: str, depth: int = 0) -> Column:
     return F.when(column.isNull(), F.lit(0).cast("long")).otherwise(total)
 
 
+def accounted(x, dtype: str, depth: int = 0) -> int:
+    """The same of a Python value."""
+    if x is None:
+        return 0
+    if depth:
+        return 2 + sum(accounted(y, dtype, depth - 1) for y in x)
+    return VALUE_BYTES[dtype] + (len(x.encode()) if dtype == "string" else len(x) if dtype == "bytes" else 0)
+
+
 def holds_null(column: Column, depth: int) -> Column:
     """Whether a list has a null inside, at any level."""
     if depth == 0:

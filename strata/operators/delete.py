@@ -32,19 +32,33 @@ class Deleter:
         return self.delete_rows(table, rows, [segment_id])
 
     def delete_rows(self, table: str, rows: DataFrame, touched: list[str] | None = None) -> int:
-        """Deletes ``rows(_segment_id, _row_id)``, of any number; those deleted already, or unknown, aren't counted."""
+        """Deletes ``rows(_segment_id, _row_id)``, of any number; those deleted already, or unknown, aren't counted.
+
+        The request is written down first: a commit that comes between reads it again, not what it was computed from,
+        and only the segments that it names are looked at.
+        """
+        asked = f"_tmp/{uuid.uuid4().hex}"
+        try:
+            rows.select("_segment_id", F.col("_row_id").cast("long").alias("_row_id")).distinct().write.parquet(self.store.uri(asked))
+            rows = self.spark.read.schema(DELETE_SCHEMA).parquet(self.store.uri(asked))
+            if touched is None:
+                touched = [r[0] for r in rows.select("_segment_id").distinct().collect()]  # segments, which the log has on the driver too
+            return self._delete(table, rows, set(touched))
+        finally:
+            self.store.delete(asked)
+
+    def _delete(self, table: str, rows: DataFrame, touched: set[str]) -> int:
         for _ in range(RETRIES):
             state = self.catalog.state(table)
-            segments = [s for s in state.segments.values() if touched is None or s.segment_id in touched]
-            new = rows.select("_segment_id", F.col("_row_id").cast("long").alias("_row_id")).distinct()
-            new = new.join(deletes(self.spark, self.store, table, segments), ["_segment_id", "_row_id"], "left_anti")
+            segments = [state.segments[i] for i in touched if i in state.segments]
+            new = rows.join(deletes(self.spark, self.store, table, segments), ["_segment_id", "_row_id"], "left_anti")
             # rows that compaction has removed aren't in files any more, so they can't be deleted again
             if any(s.omitted_n for s in segments):
                 from strata.sources.scan import _files
 
                 there = _files(self.spark, self.store, table, state, [s for s in segments if s.omitted_n], True).select("_segment_id", "_row_id")
-                other = [s.segment_id for s in segments if s.omitted_n]
-                new = new.where(~F.col("_segment_id").isin(other)).unionByName(new.where(F.col("_segment_id").isin(other)).join(there, ["_segment_id", "_row_id"], "left_semi"))
+                whole = [s.segment_id for s in segments if not s.omitted_n]
+                new = new.where(F.col("_segment_id").isin(whole)).unionByName(new.join(there, ["_segment_id", "_row_id"], "left_semi"))
             path = f"{uuid.uuid4().hex}.parquet"
             uri = self.store.uri(f"{table}/deletes/{path}")
             new.write.option("compression", "zstd").parquet(uri)

@@ -31,9 +31,9 @@ def partition_path(schema: TableSchema, partition: dict) -> str:
     return "/".join(f"{schema.path_column(n)}={path_text(d, partition[n])}" for n, d in schema.partitioning.items())
 
 
-def prepared(schema: TableSchema, df: DataFrame, at: dt.datetime) -> DataFrame:
-    """The rows as stored: declared columns, _written_at, _bytes and path columns; bad rows raise in the job."""
-    given = set(df.columns)
+def prepared(schema: TableSchema, df: DataFrame, at: dt.datetime | None) -> DataFrame:
+    """The rows as stored: declared columns, _written_at (a column of ``df`` if ``at`` isn't given), _bytes and path columns; bad rows raise in the job."""
+    given = set(df.columns) - ({WRITTEN_AT} if at is None else set())
     if unknown := given - set(schema.user_columns()):
         raise InvalidRequest(f"unknown columns: {sorted(unknown)}")
     if missing := set(schema.partitioning) - given:
@@ -63,7 +63,7 @@ def prepared(schema: TableSchema, df: DataFrame, at: dt.datetime) -> DataFrame:
         wrong = F.coalesce(*checks)
         total = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("INVALID_ROW: "), wrong)).cast("long")).otherwise(total)
     paths = [encoded(schema, n, F.col(n).cast("long") if d == "int64" else F.col(n)).alias(schema.path_column(n)) for n, d in schema.partitioning.items()]
-    return df.select(*columns, F.lit(at).cast("timestamp").alias(WRITTEN_AT), total.alias("_bytes"), *paths)
+    return df.select(*columns, (F.col(WRITTEN_AT) if at is None else F.lit(at)).cast("timestamp").alias(WRITTEN_AT), total.alias("_bytes"), *paths)
 
 
 def job_error(e: PySparkException) -> Exception:
@@ -74,14 +74,30 @@ def job_error(e: PySparkException) -> Exception:
     return e
 
 
+class Part:
+    """What an append adds to a segment."""
+
+    def __init__(self, segment_id: str):
+        self.segment_id, self.files, self.sources, self.rows, self.size = segment_id, {}, {}, 0, 0
+
+    def add(self, key: str, path: str, base: int, n: int, size: int) -> None:
+        target = "/".join(x for x in (key, f"_segment_id={self.segment_id}", f"_base={base}", path.rsplit("/", 1)[1]) if x)
+        self.files[target], self.sources[path] = n, target
+        self.rows, self.size = self.rows + n, self.size + size
+
+
 class Writer:
     def __init__(self, spark: SparkSession, catalog: Catalog, target_rows: int, target_bytes: int, shards_log: int):
         self.spark, self.catalog, self.store = spark, catalog, catalog.store
         self.target_rows, self.target_bytes, self.shards_log = target_rows, target_bytes, shards_log
 
-    def write(self, table: str, df: DataFrame, stream: str | None = None, batch: int | None = None, layout: str = "rebalance") -> dict:
+    def write(self, table: str, df: DataFrame, stream: str | None = None, batch: int | None = None, layout: str = "rebalance", own_times: bool = False, journals: list[str] | None = None, done: list[str] | None = None) -> dict:
         """Appends ``df``; of a stream, a batch that is committed already is skipped.
 
+        All rows get one time of writing, unless ``own_times`` says that they bring theirs as ``_written_at``.
+        ``journals`` are the staged writes that ``df`` holds: if a commit has taken one in, nothing is added; ``done`` are
+        those whose files are gone, which the log needn't know any more.
+
         ``layout="rebalance"`` brings a partition's rows together in few files, splitting hot partitions;
         ``"as_is"`` writes them where they are, without a shuffle.
         """
@@ -89,7 +105,7 @@ class Writer:
         if stream is not None and state.batches.get(stream, -1) >= batch:
             return {"rows": 0, "segments": []}
         at = dt.datetime.now(dt.UTC)
-        rows = prepared(state.schema, df, at)
+        rows = prepared(state.schema, df, None if own_times else at)
         paths = [state.schema.path_column(n) for n in state.schema.partitioning]
         if paths and layout == "rebalance":
             rows = rows.hint("rebalance", *[F.col(p) for p in paths])
@@ -97,7 +113,7 @@ class Writer:
         try:
             (rows.write.partitionBy(*paths) if paths else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
             files = self._written(state.schema, staging, rows)
-            return self._commit(table, files, at, stream, batch)
+            return self._commit(table, files, at, stream, batch, {"journals": journals or [], "done": done or []})
         except PySparkException as e:
             raise job_error(e) from e
         finally:
@@ -117,13 +133,13 @@ class Writer:
             out.append((partition, path, r.n, r.size))
         return out
 
-    def _commit(self, table: str, files: list, at: dt.datetime, stream: str | None, batch: int | None) -> dict:
+    def _commit(self, table: str, files: list, at: dt.datetime, stream: str | None, batch: int | None, staged: dict) -> dict:
         placed = {path: path for _, path, _, _ in files}
         for _ in range(RETRIES):
             state = self.catalog.state(table)
-            if stream is not None and state.batches.get(stream, -1) >= batch:
+            if stream is not None and state.batches.get(stream, -1) >= batch or any(j in state.batches for j in staged["journals"]):
                 return {"rows": 0, "segments": []}
-            commit = self.assign(state, files, at)
+            commit = self.assign(state, files, at) | {k: v for k, v in staged.items() if v}
             commit |= {"stream": stream, "batch": batch} if stream is not None else {}
             for segment in commit["segments"]:
                 for source, target in segment.pop("sources").items():
@@ -139,7 +155,11 @@ class Writer:
         raise CommitConflict(f"table {table}")
 
     def assign(self, state: State, files: list, at: dt.datetime) -> dict:
-        """The append commit: each partition's files go to its active segment, or to a new one if that is full."""
+        """The append commit: each partition's files go to its active segment, or to a new one if that is full.
+
+        An append stays in one segment, but for one that by itself fills several: each of these gets files up to the
+        target, so that no segment, and no task that compacts it, grows with the size of an append.
+        """
         by_partition: dict[str, list] = {}
         values: dict[str, dict] = {}
         for partition, path, n, size in files:
@@ -154,12 +174,14 @@ class Writer:
             if segment is None or self.cold(segment):
                 segment = Segment(values[key], shard.new_segment_id())
                 active[slot] = segment.segment_id
-            base, named, sources = segment.all_time_n, {}, {}
-            for path, n, _ in own:
-                target = "/".join(x for x in (key, f"_segment_id={segment.segment_id}", f"_base={base}", path.rsplit("/", 1)[1]) if x)
-                named[target], sources[path] = n, target
+            base, parts = segment.all_time_n, [Part(segment.segment_id)]
+            for path, n, size in own:
+                if parts[-1].rows >= self.target_rows or parts[-1].size >= self.target_bytes:
+                    base, parts = 0, [*parts, Part(shard.new_segment_id())]
+                    active[slot] = parts[-1].segment_id
+                parts[-1].add(key, path, base, n, size)
                 base += n
-            segments.append({"partition": values[key], "segment_id": segment.segment_id, "files": named, "sources": sources, "bytes": sum(s for _, _, s in own)})
+            segments += [{"partition": values[key], "segment_id": p.segment_id, "files": p.files, "sources": p.sources, "bytes": p.size} for p in parts]
         return {"kind": "append", "at": at.timestamp(), "segments": segments, "active": active, "partitions": values}
 
     def cold(self, segment: Segment) -> bool:

@@ -8,7 +8,7 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
-from strata.errors import CommitConflict, NotFound
+from strata.errors import CommitConflict, Internal, NotFound
 
 
 def open_store(spark: SparkSession, root: str) -> LocalStore | HadoopStore:
@@ -74,6 +74,9 @@ class LocalStore:
             shutil.rmtree(at, ignore_errors=True)
         elif os.path.exists(at):
             os.unlink(at)
+            checksum = f"{os.path.dirname(at)}/.{os.path.basename(at)}.crc"
+            if os.path.exists(checksum):
+                os.unlink(checksum)
 
     def walk(self, path: str) -> list[tuple[str, float]]:
         """Files below, with their modification times in seconds."""
@@ -82,11 +85,14 @@ class LocalStore:
 
 
 class HadoopStore:
-    """By Spark's Hadoop client; exclusive creation is the file system's, so it must have it (HDFS and the like)."""
+    """By Spark's Hadoop client; its file system must rename without overwriting in one step (HDFS and the like)."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")
-        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        sc = spark.sparkContext
+        self.jvm, self.root, configuration = sc._jvm, root.rstrip("/"), sc._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(configuration)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), configuration)
+        self.keep = sc._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def uri(self, path: str) -> str:
         return f"{self.root}/{path}"
@@ -112,20 +118,30 @@ class HadoopStore:
             stream.close()
 
     def create(self, path: str, data: bytes) -> None:
+        """Fails if the file exists. It is written under another name, so it appears whole or not at all."""
         at = self._path(path)
+        if self.fs.exists(at):
+            raise CommitConflict(path)
+        temporary = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
         try:
-            stream = self.fs.create(at, False)
-        except Exception as e:
-            if self.fs.exists(at):
-                raise CommitConflict(path) from e
-            raise
-        stream.write(data)
-        stream.close()
+            stream = self.fs.create(temporary, False)
+            stream.write(data)
+            stream.close()
+            try:
+                self.context.rename(temporary, at, self.keep)
+            except Exception as e:
+                if self.fs.exists(at):
+                    raise CommitConflict(path) from e
+                raise
+        finally:
+            if self.fs.exists(temporary):
+                self.fs.delete(temporary, False)
 
     def rename(self, old: str, new: str) -> None:
         target = self._path(new)
         self.fs.mkdirs(target.getParent())
-        self.fs.rename(self._path(old), target)
+        if not self.fs.rename(self._path(old), target):
+            raise Internal(f"{old} can't be renamed to {new}")
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)

@@ -1,18 +1,26 @@
 """A small HTTP/JSON service over an engine: POST /rest/create_table, drop_table, alter_table, delete_from_segment and
-write_to_partition, GET /rest/list_tables, get_schema and list_segments. Bodies are JSON objects, also of GET requests."""
+write_to_partition, GET /rest/list_tables, get_schema, list_segments, read_segment_column and read_segment_deletions.
+Bodies are JSON objects, also of GET requests. Writes are staged; reads of segments come page by page."""
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from strata.engine import Engine
 from strata.errors import Internal, InvalidRequest, NotFound, StrataError
 from strata.plans.partitions import PartitionFilter
+from strata.plans.schema import ROW_ID
 
 LIMIT = 64 << 20
+#: Rows of a page, unless a request asks for fewer.
+PAGE = 10_000
 
 
 def _need(body: dict, *names: str) -> list:
@@ -23,10 +31,29 @@ def _need(body: dict, *names: str) -> list:
 
 def _write(engine: Engine, body: dict) -> dict:
     table, rows = _need(body, "tableName", "rows")
-    engine.write_to_partition(table, body.get("partition"), rows)
+    engine.write_to_partition(table, body.get("partition"), rows, stage=True)
     return {}
 
 
+def _page(rows: DataFrame, body: dict) -> tuple[list, dict]:
+    """Rows after the token's row id, and the token of the page behind them if there may be one."""
+    size = min(PAGE, max(1, int(body.get("pageRows", PAGE))))
+    found = rows.where(F.col(ROW_ID) > int(body.get("continuationToken") or -1)).orderBy(ROW_ID).limit(size).collect()
+    return found, {"continuationToken": str(found[-1][ROW_ID])} if len(found) == size else {}
+
+
+def _column(engine: Engine, body: dict) -> dict:
+    table, segment, column, correlation = _need(body, "tableName", "segmentId", "columnName", "correlationId")
+    rows, more = _page(engine.read_segment_column(table, body.get("partition"), segment, column, correlation), body)
+    return {"rows": [{"rowId": r[ROW_ID], "value": r[column]} for r in rows]} | more
+
+
+def _deletions(engine: Engine, body: dict) -> dict:
+    table, segment, correlation = _need(body, "tableName", "segmentId", "correlationId")
+    rows, more = _page(engine.read_segment_deletions(table, body.get("partition"), segment, correlation), body)
+    return {"rowIds": [r[ROW_ID] for r in rows]} | more
+
+
 def _filters(body: dict) -> list[PartitionFilter]:
     return [PartitionFilter(f.get("partitionName", ""), f.get("comparison", ""), f.get("value"), "value" not in f) for f in body.get("partitionFilter") or []]
 
@@ -39,6 +66,8 @@ ROUTES = {
     ("POST", "delete_from_segment"): lambda e, b: e.delete_from_segment(_need(b, "tableName")[0], b.get("partition"), *_need(b, "segmentId", "rowIds")),
     ("GET", "list_tables"): lambda e, b: e.list_tables(),
     ("GET", "get_schema"): lambda e, b: {"schema": e.get_schema(*_need(b, "tableName"))},
+    ("GET", "read_segment_column"): _column,
+    ("GET", "read_segment_deletions"): _deletions,
     ("GET", "list_segments"): lambda e, b: {"segments": e.list_segments(_need(b, "tableName")[0], _filters(b), bool(b.get("includeMetadata")))},
 }
 
@@ -63,6 +92,8 @@ def answer(engine: Engine, method: str, path: str, raw: bytes) -> tuple[int, dic
 
 
 def _text(value) -> str:
+    if isinstance(value, (bytes, bytearray)):
+        return base64.b64encode(value).decode()
     return value.isoformat().replace("+00:00", "Z") if isinstance(value, dt.datetime) else str(value)
 
 
