@@ -17,6 +17,9 @@ SPARK_TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
     "timestampMicros": T.TimestampType(),
 }
+#: Types whose values seldom repeat, so that compaction stores them without dictionaries: integers and times as
+#: differences, strings and bytes are left to Parquet's choice.
+PLAIN_TYPES = ("int64", "float32", "float64", "timestampMicros")
 #: Accounted bytes of a value; strings and bytes add their length.
 VALUE_BYTES = {"bool": 1, "bytes": 2, "float32": 4, "float64": 8, "int64": 8, "string": 2, "timestampMicros": 12}
 PARTITION_TYPES = ("bool", "int64", "string", "timestampMinute")

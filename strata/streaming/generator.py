@@ -1,10 +1,17 @@
-"""A workload generator: random sparse rows, and the pacing of concurrent writers."""
+"""A workload generator: random sparse rows, and paced concurrent writers that record their own metrics."""
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
+import time
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.engine import Engine
+from strata.errors import StrataError
 from strata.functions.time import time_bucket
 
 EVENTS = {
@@ -42,3 +49,42 @@ def random_rows(spark: SparkSession, n: int, now: str, seed: int = 0, present: f
 def delay_seconds(rows_per_second: float, max_concurrency: int) -> float:
     """The pause between single-row writes of each of up to ``max_concurrency`` writers."""
     return (max_concurrency + 1) / (2 * rows_per_second)
+
+
+def publish(engine: Engine, table: str, requests: Iterable[tuple[dict, list]], rows_per_second: float, max_concurrency: int = 5, metrics: str | None = None) -> dict:
+    """Writes each (partition, rows) by one of ``max_concurrency`` threads, each pausing in between; staged writes.
+
+    With ``metrics``, a row for each write goes to that table (of METRICS), in partition ``write``.
+    """
+    left, lock = iter(requests), threading.Lock()
+    pause, busy, done = delay_seconds(rows_per_second, max_concurrency), [0], {"writes": 0, "errors": 0}
+
+    def work() -> None:
+        while True:
+            with lock:
+                request = next(left, None)
+                if request is None:
+                    return
+                busy[0] += 1
+                concurrency = busy[0]
+            began, errors = dt.datetime.now(dt.UTC), 0
+            try:
+                engine.write_to_partition(table, *request, stage=True)
+            except StrataError:
+                errors = 1
+            took = (dt.datetime.now(dt.UTC) - began).total_seconds()
+            with lock:
+                busy[0] -= 1
+                done["writes"] += 1
+                done["errors"] += errors
+            if metrics:
+                row = {"response_time": took, "concurrency": concurrency, "errors": errors, "write_start_at": began.isoformat(timespec="microseconds")}
+                engine.write_to_partition(metrics, {"action": "write"}, [row], stage=True)
+            time.sleep(pause)
+
+    threads = [threading.Thread(target=work) for _ in range(max_concurrency)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    return done

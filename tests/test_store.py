@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.engine import Engine
-from strata.errors import CommitConflict, NotFound
+from strata.errors import CommitConflict, Internal, NotFound
 from strata.plans import store as stores
 from strata.plans.store import HadoopStore, LocalStore
 
@@ -44,3 +44,28 @@ def test_engine_over_hadoop(spark, tmp_path, monkeypatch):
 def test_roots(spark, tmp_path):
     assert stores.open_store(spark, f"file://{tmp_path}/a%20b").root == f"{tmp_path}/a b"
     assert isinstance(stores.open_store(spark, str(tmp_path)), LocalStore)
+
+
+def test_hadoop_renames_are_checked_and_files_appear_whole(spark, tmp_path, monkeypatch):
+    s = HadoopStore(spark, f"file://{tmp_path}")
+    s.create("a", b"1")
+
+    class Files:  # Hadoop's clients mostly answer so, and raise nothing
+        def mkdirs(self, _):
+            return True
+
+        def rename(self, *_):
+            return False
+
+    with monkeypatch.context() as m, pytest.raises(Internal):
+        m.setattr(s, "fs", Files())
+        s.rename("a", "there")
+
+    class Context:
+        def rename(self, *_):
+            raise KeyboardInterrupt
+
+    monkeypatch.setattr(s, "context", Context())
+    with pytest.raises(KeyboardInterrupt):
+        s.create("b", b"2")
+    assert [n for n in s.list("") if not n.startswith(".")] == ["a"]
