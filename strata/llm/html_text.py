@@ -1,7 +1,8 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is parsed into a light tree (end tags that HTML lets authors omit are implied). Subtrees that
-are boilerplate by their element, role or class are dropped; every paragraph that is left gives points
+are boilerplate by their element, role or name are dropped (a class or id of nothing but telling and general words;
+where it has other words too, the subtree is only dropped if it holds the smaller part of the page's text); every paragraph that is left gives points
 for its length and commas, discounted by the share of its text that is links: the full points to its
 parent, half to the next ancestor, less and less above. The best container, once more discounted by its
 own link density, is kept with those of its siblings that read like more of the same text. An enclosing
@@ -42,6 +43,12 @@ UNLIKELY = frozenset(
     "overlay pager pagination paywall popup promo promoted promotion recommended recommendations related replies reply respond share sharing sidebar "
     "signin signup skip skyscraper social sponsor sponsored subscribe subscription subnav teaser toolbar topbar widget widgets".split()
 )
+#: Words that say nothing of what a name stands for.
+GENERAL = frozenset(
+    "section sections wrapper wrap container box block area list item items inner outer content contents main page post posts article articles entry user users reader readers "
+    "site global top bottom left right primary secondary row col column columns bar panel group link links button buttons icon icons the and js ui id div module region zone slot unit "
+    "title heading text body small large fixed sticky bottombar rail".split()
+)
 #: Beside these a name says what a page's wrapper has, not what it is.
 WRAPPERS = frozenset("with has no without layout page".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -151,28 +158,39 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _boilerplate(node: Node, in_article: bool) -> bool:
+def _boilerplate(node: Node, in_article: bool) -> int:
+    """0, 1 if only a name hints at it, or 2."""
     tag, a = node.tag, node.attributes
     if tag in DROPPED:
-        return True
+        return 2
     if tag == "header":
-        return not in_article
+        return 0 if in_article else 2
     if not a:
-        return False
+        return 0
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
+        return 2
     if "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    hint = 0
     for names in (a.get("class", ""), a.get("id", "")):
         for name in names.split():
-            parts = {x.lower() for x in NAME_PARTS.findall(name)}
-            if parts & UNLIKELY and not parts & WRAPPERS:
-                return True
-            if "header" in parts and not in_article and not parts & WRAPPERS:
-                return True
-    return False
+            parts = {x.lower() for x in NAME_PARTS.findall(name) if not x.isdigit()}
+            telling = parts & UNLIKELY or ({"header"} & parts if not in_article else set())
+            if telling and not parts & WRAPPERS:
+                hint = max(hint, 2 if parts <= UNLIKELY | GENERAL | {"header"} else 1)
+    return hint
+
+
+def _sum(nodes: list[Node]) -> None:
+    """Of each element, the text in it and below."""
+    for node in nodes:
+        node.below, node.below_links = node.chars, node.links
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.below += node.below
+            node.parent.below_links += node.below_links
 
 
 def _measure(nodes: list[Node]) -> None:
@@ -180,10 +198,14 @@ def _measure(nodes: list[Node]) -> None:
     article: dict[int, bool] = {}
     block: dict[int, Node] = {}
     linked: dict[int, bool] = {}
+    hinted: list[Node] = []
     for node in nodes:
         up = node.parent
         inside = up is not None and article[id(up)]
-        node.gone = up is not None and (up.gone or _boilerplate(node, inside))
+        sign = 0 if up is None or up.gone else _boilerplate(node, inside)
+        node.gone = up is not None and (up.gone or sign == 2)
+        if sign == 1:
+            hinted.append(node)
         article[id(node)] = inside or node.tag in ("article", "main")
         linked[id(node)] = node.tag == "a" or up is not None and linked[id(up)]
         own = block[id(node)] = node if up is None or node.tag in BLOCK else block[id(up)]
@@ -195,12 +217,16 @@ def _measure(nodes: list[Node]) -> None:
                     own.commas += item.count(",") + item.count("、") + item.count("，")
                     if linked[id(node)]:
                         own.links += size
-    for node in reversed(nodes):
-        node.below += node.chars
-        node.below_links += node.links
-        if node.parent is not None:
-            node.parent.below += node.below
-            node.parent.below_links += node.below_links
+    _sum(nodes)
+    if hinted:
+        whole = nodes[0].below - nodes[0].below_links
+        for node in hinted:
+            node.gone = 2 * (node.below - node.below_links) <= whole
+        for node in nodes:
+            node.gone = node.gone or node.parent is not None and node.parent.gone
+            if node.gone:
+                node.chars = node.links = node.commas = 0
+        _sum(nodes)
     for node in nodes:
         if node.chars < LEAST or node.tag in HEADINGS:
             continue
