@@ -247,11 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """From ``docs(doc_id, text)`` and ``labels(doc_id, label)``, of rows that aren't held out."""
     characters = CharacterModel(character_counts(docs))
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
-    n, scale = usable.count(), 1 << 30
-    taken = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < (scale if n <= max_rows else max_rows * scale // n)
-    picked = staged(docs.sparkSession, usable.where(taken), "picked")
-    few = picked.count() <= 2 * max_rows  # by the hash's spread; no text has to move then
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked) if few else picked, "doc_id").select("label", "text")
+    picked = staged(docs.sparkSession, usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows), "picked")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")  # no text has to move
     read = staged(docs.sparkSession, _read_rows(sample, characters), "sample")
     size = read.groupBy("label").count().collect()
     total = {r.label: r["count"] for r in size}
