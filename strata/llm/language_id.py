@@ -6,11 +6,14 @@ The posterior of a language multiplies
   declared, and is fitted on at most ``per_language`` rows of each, taken by a hash of their id;
 - the declared (markup) language's and the address suffix's likelihoods: how often rows whose text
   alone is clear declare it, by language, smoothed towards its overall share;
-- the prior of the host: the languages of its clear rows, smoothed towards its domain's, and these
-  towards the corpus's.
+- the prior of the host: the languages of its clear rows, smoothed towards those of the domain above it, these
+  towards the next one's, and so on up to the corpus's. A host without clear rows has its domain's prior.
 The last three are grouped aggregations over all rows, joined back by their keys; hosts are never
 collected or broadcast unless adaptive execution finds their table small.
 
+Where the declaration is also the label that the text model is fitted by, as for documents, a row of the sample
+doesn't declare anything: no row's own label is evidence about it.
+
 Beside the languages stands the class of no known language: each trigram is as likely as any other under it, it
 declares what all rows declare, and its prior is ``UNKNOWN``. Random letters and scripts outside the model are
 likelier under it; a language that shares many trigrams with one of the model's is taken for that.
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm import html_text
 from strata.llm.common import raw_texts, remembered, staged
 
 FEATURES = 1 << 15
@@ -37,6 +41,10 @@ PER_LANGUAGE = 5_000
 DENSE = 64
 TEMPER, SMOOTH, STRENGTH = 1 / 3, 0.5, 20.0
 CLEAR, CONFIDENCE, UNKNOWN = 0.95, 0.5, 0.01
+#: A row is in the sample if its key's hash, of so many values, is under its label's share of them.
+SCALE = 1 << 30
+#: Labels of the domains above a host that have counts of their own.
+DOMAINS = (2, 3, 4)
 #: Bytes looked at in one step.
 STEP = 1 << 18
 
@@ -67,6 +75,13 @@ class TextModel:
     base: np.ndarray | None = None
     who: np.ndarray | None = None
     starts: np.ndarray | None = None
+    shares: dict[str, int] | None = None
+
+    def fitted_on(self, label: Column, key: Column) -> Column:
+        """Whether a row is in the sample that the model was fitted on."""
+        pairs = [F.lit(x) for kv in (self.shares or {}).items() for x in kv]
+        share = F.try_element_at(F.create_map(*pairs), normal(label.cast("string"))) if pairs else F.lit(None)
+        return F.coalesce(F.pmod(F.xxhash64(key), F.lit(SCALE)) < share, F.lit(False))
 
     def score(self, raw: bytes) -> tuple[int, np.ndarray]:
         """Number of trigrams, and log-likelihoods by language."""
@@ -87,13 +102,12 @@ def fit(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", pe
     """From labelled rows. The driver gets the labels, and the weights of the trigrams that each language's sample has."""
     labelled = rows.select(normal(F.col(label).cast("string")).alias("label"), F.xxhash64(key).alias("at"), F.col(text).alias("text")).where("label is not null")
     counts = labelled.groupBy("label").count().collect()
-    scale = 1 << 30
-    share = sorted((r[0], min(scale, per_language * scale // r[1])) for r in counts)
+    share = sorted((r[0], min(SCALE, per_language * SCALE // r[1])) for r in counts)
     languages = [k for k, _ in share]
     if not languages:
         return TextModel([], np.zeros((FEATURES, 0), np.float32))
     shares = rows.sparkSession.createDataFrame([(k, i, v) for i, (k, v) in enumerate(share)], "label string, language int, share long")
-    sample = labelled.join(F.broadcast(shares), "label").where(F.pmod("at", F.lit(scale)) < F.col("share")).select("language", "text")
+    sample = labelled.join(F.broadcast(shares), "label").where(F.pmod("at", F.lit(SCALE)) < F.col("share")).select("language", "text")
 
     def batch_of(languages, sparse, kind):
         return pa.RecordBatch.from_arrays(
@@ -141,7 +155,7 @@ def fit(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", pe
         weights = np.tile(none.astype(np.float32), (FEATURES, 1))
         for k, (ids, x) in found.items():
             weights[ids, k] = x
-        return TextModel(languages, weights)
+        return TextModel(languages, weights, shares=dict(share))
     sizes = np.zeros(FEATURES + 1, np.int64)
     for ids, _ in found.values():
         sizes[ids.astype(np.int64) + 1] += 1
@@ -150,7 +164,7 @@ def fit(rows: DataFrame, label: str, key: str = "doc_id", text: str = "text", pe
     for k, (ids, x) in found.items():
         who[free[ids]], weights[free[ids]] = k, x - none[k]
         free[ids] += 1
-    return TextModel(languages, weights, none, who, starts)
+    return TextModel(languages, weights, none, who, starts, dict(share))
 
 
 def _likelihoods(rows: DataFrame, model: TextModel, names: list[str]) -> DataFrame:
@@ -195,6 +209,19 @@ def _of(counts: str, i: Column) -> Column:
     return F.coalesce(F.try_element_at(counts, i), F.lit(0.0))
 
 
+def host_priors(scored: DataFrame, clear: DataFrame, overall: list[float]) -> DataFrame:
+    """A row for each host: _host, and _p, its languages' shares smoothed from domain to domain."""
+    parts = F.split("_host", r"\.")
+    counted = _counted(clear, "_host")
+    hosts = scored.where("_host is not null").select("_host").distinct().withColumn("_p", F.array(*[F.lit(p) for p in overall]))
+    smoothed = F.transform("_p", lambda p, i: (_of("m", i) + STRENGTH * p) / (F.coalesce("t", F.lit(0.0)) + STRENGTH))
+    for width in (*DOMAINS, None):
+        key = F.col("_host") if width is None else F.when(F.size(parts) > width, F.concat_ws(".", F.slice(parts, F.size(parts) - width + 1, width)))
+        sums = counted.select(key.alias("_k"), "_text", "c").where("_k is not null").groupBy("_k", "_text").agg(F.sum("c").alias("c"))
+        hosts = hosts.join(_by_key(sums, "_k"), key == F.col("_k"), "left").select("_host", smoothed.alias("_p"))
+    return hosts
+
+
 def identify(
     spark: SparkSession, rows: DataFrame, model: TextModel, keys: list[str], text: str = "text",
     declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, confidence: float = CONFIDENCE,
@@ -230,12 +257,7 @@ def identify(
         unknown += F.coalesce(f"{name}_u", F.lit(0.0))
     prior = F.array(*[F.lit(float(np.log(p))) for p in overall])
     if used_host:
-        parts = F.split("_host", r"\.")
-        counted = _counted(clear, "_host").withColumn("_domain", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)))
-        domains = _by_key(counted.groupBy("_domain", "_text").agg(F.sum("c").alias("c")), "_domain").withColumnsRenamed({"m": "dm", "t": "dt"})
-        of_domain = lambda p, i: (_of("dm", i) + STRENGTH * p) / (F.col("dt") + STRENGTH)
-        of_host = F.transform(F.array(*[F.lit(p) for p in overall]), lambda p, i: F.log((_of("m", i) + STRENGTH * of_domain(p, i)) / (F.col("t") + STRENGTH)))
-        hosts = _by_key(counted, "_host", "_domain").join(domains, "_domain").select(F.col("_host").alias("_host_k"), of_host.alias("_host_l"))
+        hosts = host_priors(scored, clear, overall).select(F.col("_host").alias("_host_k"), F.transform("_p", lambda p: F.log(p)).alias("_host_l"))
         fused = fused.join(hosts, F.col("_host") == F.col("_host_k"), "left")
         prior = F.coalesce("_host_l", prior)
     fused = fused.withColumn("_post", _posterior(F.concat(_add(logs, prior), F.array(unknown)))).withColumn("confidence", F.array_max(F.slice("_post", 1, size)))
@@ -248,13 +270,30 @@ def identify(
     )
 
 
-def identify_documents(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Documents: ``lang`` is what was declared for them and labels the model's sample; ``source`` is the host."""
+def fit_documents(docs: DataFrame, per_language: int = PER_LANGUAGE) -> TextModel:
+    """The text model, from documents labelled by ``lang``."""
+    return fit(docs.select("doc_id", "text", "lang"), "lang", per_language=per_language)
+
+
+def identify_documents(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE, model: TextModel | None = None) -> DataFrame:
+    """Documents: ``lang`` labels the model's sample and is what the others declare; ``source`` is the host."""
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("h"))
-    model = fit(keyed, "lang", per_language=per_language)
+    model = model or fit_documents(keyed, per_language)
     source = F.lower("source")
-    suffix = F.nullif(F.regexp_extract(source, r"\.([a-z]{2,})$", 1), F.lit(""))
-    return identify(spark, keyed, model, ["doc_id", "h"], declared=F.col("lang"), suffix=suffix, host=source)
+    declared = F.when(~model.fitted_on(F.col("lang"), F.col("doc_id")), F.col("lang"))
+    return identify(spark, keyed, model, ["doc_id", "h"], declared=declared, suffix=_suffix(source), host=source)
+
+
+def _suffix(host: Column) -> Column:
+    return F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})$", 1), F.lit(""))
+
+
+def identify_pages(spark: SparkSession, pages: DataFrame, model: TextModel) -> DataFrame:
+    """Pages ``(page_id, url, html)`` by their main texts, the ``lang`` of their html elements, and their addresses."""
+    declared = F.regexp_extract("html", r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)
+    host = F.lower(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    rows = html_text.extract(pages.select("page_id", declared.alias("declared"), host.alias("host"), "html"))
+    return identify(spark, rows, model, ["page_id"], declared=F.col("declared"), suffix=_suffix(F.col("host")), host=F.col("host"))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
