@@ -3,7 +3,9 @@
 Each of ``curves`` random orthogonal projections, shifted by a random offset, orders the vectors along a
 Hilbert curve. A curve's key range is cut into buckets of some ``BUCKET`` vectors; a query is sent to its own
 bucket and to the neighbouring ones inside its window, and the candidates of all curves merge and are ranked
-again by their exact distances.
+again by their exact distances. There are as many buckets as the sample can tell apart; beyond that a bucket is dealt
+to parts of some ``BUCKET`` vectors each by a hash, and its queries go to all of them, so no task's share of the index
+grows with the input.
 
 Everything fitted comes from at most ``sample_rows`` vectors, taken by a hash: ranges, bucket bounds, and the
 window's width, the least at which the sample's own queries find ``target`` of their nearest vectors. Every vector is
@@ -70,6 +72,7 @@ class Curves:
     shift: list[np.ndarray]
     bounds: list[np.ndarray]  # keys between buckets
     reach: int = 0  # buckets on either side of a query's own
+    parts: int = 1  # of each bucket
 
     def keys(self, x: np.ndarray, c: int) -> np.ndarray:
         cells = ((x @ self.projections[c] - self.low[c]) / self.width[c] + self.shift[c]) * (1 << BITS)
@@ -86,6 +89,7 @@ def fit(sample: np.ndarray, n: int, curves: int = CURVES, target: float = TARGET
     dimensions = min(DIMENSIONS, size)
     out = Curves([], [], [], [], [])
     buckets = int(min(MOST_BUCKETS, max(1, -(-n // bucket))))
+    out.parts = max(1, -(-n // (bucket * buckets)))
     ranks = []
     for c in range(curves):
         out.projections.append(np.linalg.qr(random.standard_normal((size, dimensions)))[0])
@@ -148,61 +152,62 @@ def _matrix(column, size: int) -> np.ndarray:
 
 
 def _deal(index: DataFrame, curves, size: int, queries: bool) -> DataFrame:
-    """Rows by curve and bucket: entries to their own bucket, queries to all in their window."""
+    """Rows by curve, bucket and part: entries to their own, queries to all in their window."""
 
     def run(batches):
         own = curves.value
         for batch in batches:
             x = _matrix(batch.column(1), size)
+            part = np.array([int.from_bytes(k[:8], "little") % own.parts for k in batch.column(0).to_pylist()], np.int32)
             for c in range(len(own.projections)):
                 bucket = own.bucket(x, c)
                 if not queries:
-                    yield _dealt(batch, c, bucket, np.arange(len(x)), 0)
+                    yield _dealt(batch, c, bucket, part, np.arange(len(x)), 0)
                     continue
                 low, high = np.maximum(bucket - own.reach, 0), np.minimum(bucket + own.reach, len(own.bounds[c])) + 1
                 for step in range(2 * own.reach + 1):
                     to = low + step
                     sent = np.flatnonzero(to < high)
-                    if len(sent):
-                        yield _dealt(batch, c, to[sent], sent, 1)
+                    for p in range(own.parts) if len(sent) else ():
+                        yield _dealt(batch, c, to[sent], np.full(len(sent), p, np.int32), sent, 1)
 
-    return index.mapInArrow(run, "curve int, bucket int, asks int, key binary, vec binary, ids array<long>")
+    return index.mapInArrow(run, "curve int, bucket int, part int, asks int, key binary, vec binary, ids array<long>")
 
 
-def _dealt(batch: pa.RecordBatch, curve: int, bucket: np.ndarray, rows: np.ndarray, asks: int) -> pa.RecordBatch:
+def _dealt(batch: pa.RecordBatch, curve: int, bucket: np.ndarray, part: np.ndarray, rows: np.ndarray, asks: int) -> pa.RecordBatch:
     n, take = len(rows), pa.array(rows)
     ids = batch.column(2).take(take) if not asks else pa.nulls(n, pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, curve, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(np.full(n, asks, np.int32)), batch.column(0).take(take), batch.column(1).take(take), ids],
-        names=["curve", "bucket", "asks", "key", "vec", "ids"],
+        [pa.array(np.full(n, curve, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(part), pa.array(np.full(n, asks, np.int32)), batch.column(0).take(take), batch.column(1).take(take), ids],
+        names=["curve", "bucket", "part", "asks", "key", "vec", "ids"],
     )
 
 
 def _search_sorted(batches, size: int, k: int):
-    """Rows sorted by curve, bucket and asks: a bucket's entries are held while its queries stream past."""
+    """Rows sorted by curve, bucket, part and asks: a part's entries are held while its queries stream past."""
     held, parts, ids = None, [], []
     x = squares = None
     for batch in batches:
-        groups = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+        groups = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
         edges = np.flatnonzero(np.any(groups[1:] != groups[:-1], axis=1)) + 1
         for low, high in zip([0, *edges], [*edges, len(groups)], strict=True):
             if high == low:
                 continue
-            group, asks = tuple(groups[low][:2]), groups[low][2]
+            group, asks = tuple(groups[low][:3]), groups[low][3]
             if group != held:
                 held, parts, ids, x = group, [], [], None
             part = batch.slice(low, high - low)
             if not asks:
-                parts.append(_matrix(part.column(4), size))
-                ids += part.column(5).to_pylist()
+                parts.append(_matrix(part.column(5), size))
+                ids += part.column(6).to_pylist()
                 continue
             if not parts:
                 continue
             if x is None:
                 x = np.concatenate(parts)
                 squares = (x**2).sum(axis=1)
-            q = _matrix(part.column(4), size)
-            keys = part.column(3).to_pylist()
+            q = _matrix(part.column(5), size)
+            keys = part.column(4).to_pylist()
             step = max(1, (1 << 22) // len(x))
             for start in range(0, len(q), step):
                 yield _nearest(keys[start : start + step], q[start : start + step], x, squares, ids, k)
@@ -247,7 +252,7 @@ def nearest(
     asking = index.join(asks.select("key").distinct(), "key", "left_semi").select("key", "vec", "ids")
     entries = index.select("key", "vec", "ids")
     dealt = _deal(entries, shared, size, False).unionByName(_deal(asking, shared, size, True))
-    found = dealt.repartition("curve", "bucket").sortWithinPartitions("curve", "bucket", "asks").mapInArrow(
+    found = dealt.repartition("curve", "bucket", "part").sortWithinPartitions("curve", "bucket", "part", "asks").mapInArrow(
         lambda batches: _search_sorted(batches, size, k), "key binary, score double, ids array<long>"
     )
     pairs = found.select("key", "score", F.explode("ids").alias("vec_id")).distinct()
