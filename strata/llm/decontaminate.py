@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from strata.llm.common import alnum_words, raw_texts, remembered
+from strata.llm.common import alnum_words, raw_texts, remembered, staged
 
 WIDTH, SHINGLE, MIN_ITEMS = 8, 3, 2
 #: Benchmark texts up to this size are indexed in each worker's memory, some 400 times their words' count in bytes.
 BROADCAST_BYTES = 1 << 20
 
-#: Bits of the hash that the bitmap of a large benchmark looks at.
-BITMAP = 22
+#: A large benchmark's bitmap has this many bits for each of its shingles, and two to these powers at least and at most.
+SPARSE, LEAST_BITS, MOST_BITS = 16, 10, 27
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -180,8 +180,10 @@ def _token(gram: tuple) -> int:
 def _by_shuffle(docs: DataFrame, benchmark: DataFrame, width: int, min_items: int) -> DataFrame:
     """The same rows, and h, the hash of each one's text, by a join on the prefix tokens' hashes.
 
-    A bitmap of the benchmark's hashes, ``1 << BITMAP`` bits whatever its size, keeps most document
-    positions out of the shuffle; those that pass carry the words around them for the exact comparison.
+    A bitmap of the benchmark's hashes, sized by their number and of 16 MB at most, keeps most document positions out
+    of the shuffle; those that pass are written once, with the words around them for the exact comparison. Beyond some
+    eight million shingles it lets more pass, which costs shuffle but changes nothing. A prefix token that very many
+    documents hold is a skewed key of a plain join, which adaptive execution splits.
     """
     spark = docs.sparkSession
 
@@ -191,27 +193,34 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, width: int, min_items: in
             for item, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
                 for w in windows(alnum_words(raw), width):
                     words = [x.decode() for x in w]
-                    rows += [{"item_id": item, "window": words, "offset": i, "token": _token(g)} for i, g in enumerate(shingles(w))]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"item_id": pa.string(), "window": pa.list_(pa.string()), "offset": pa.int32(), "token": pa.int64()}))
+                    rows += [{"item_id": item, "window": words, "offset": i, "k": len(g), "token": _token(g)} for i, g in enumerate(shingles(w))]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"item_id": pa.string(), "window": pa.list_(pa.string()), "offset": pa.int32(), "k": pa.int32(), "token": pa.int64()}))
 
     tokens = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(
-        item_tokens, "item_id string, window array<string>, offset int, token long"
+        item_tokens, "item_id string, window array<string>, offset int, k int, token long"
     ).distinct()
-    marks = tokens.select(F.shiftrightunsigned("token", 64 - BITMAP).cast("int").alias("bit")).distinct().toPandas()["bit"]
-    bitmap = np.zeros(1 << BITMAP, bool)
-    bitmap[marks.to_numpy()] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bitmap))
+    tokens = staged(spark, tokens, "prefix-tokens")
+    lengths = sorted(row[0] for row in tokens.select("k").distinct().collect())  # SHINGLE of them at most
+    n = tokens.select("token").distinct().count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (SPARSE * n).bit_length()))
+    place = F.shiftrightunsigned("token", 64 - bits)
+    marks = tokens.select(F.shiftrightunsigned(place, 6).cast("int").alias("word"), place.alias("place"))
+    marks = marks.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("mask")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64)
+    bitmap = spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
     def places(batches):
-        bits = np.unpackbits(bitmap.value).view(bool)
+        known = bitmap.value
         for batch in batches:
             rows = []
             for doc, h, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw_texts(batch.column(2)), strict=True):
                 words = alnum_words(raw)
-                for k in range(1, SHINGLE + 1):
+                for k in lengths:
                     grams = zip(*(words[i:] for i in range(k)), strict=False)
                     hashes = np.fromiter(map(_token, grams), np.int64)
-                    for at in np.flatnonzero(bits[hashes.view(np.uint64) >> np.uint64(64 - BITMAP)]).tolist():
+                    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+                    for at in np.flatnonzero(known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).tolist():
                         low = max(0, at - width + 1)
                         rows.append((doc, h, len(words), at, int(hashes[at]), low, [x.decode() for x in words[low : at + width + SHINGLE]]))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
@@ -220,7 +229,7 @@ def _by_shuffle(docs: DataFrame, benchmark: DataFrame, width: int, min_items: in
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    places = keyed.mapInArrow(places, f"doc_id {id_type}, h long, n int, at int, token long, low int, near array<string>")
+    places = staged(spark, keyed.mapInArrow(places, f"doc_id {id_type}, h long, n int, at int, token long, low int, near array<string>"), "places")
     counts = (
         places.select("doc_id", "h", "token").join(tokens.select("token").distinct(), "token", "left_semi")
         .distinct().groupBy("token").agg(F.count("*").alias("n_docs"))
