@@ -9,9 +9,14 @@ A word is scored by the longest n-gram that ends with it and occurs outside its
 ``count(n-gram) / count(context)``, times ``ALPHA`` for each order given up. Counts leave out the document's
 own occurrences, or every n-gram of a scored text would be known. A word seen nowhere else counts half.
 
-An n-gram sends one row a block however often it occurs, so frequent ones make no task larger, and a bucket's
-size follows from the number of buckets, which grows with the input. Packed rows hold sorted hashes as byte
-planes of their differences; nothing goes through the driver but the corpus's number of words.
+An n-gram sends one entry a block however often it occurs, so frequent ones make no task larger, and a bucket's
+size follows from the number of buckets, which grows with the input without a limit. A block sends a row to each
+bucket that it has n-grams for: as the buckets grow in number these rows shrink, to single n-grams in the end, so
+there are never more rows than distinct n-grams in blocks. Packed rows hold sorted hashes as byte planes of their
+differences; nothing goes through the driver but the corpus's number of words.
+
+This is the join of exploded n-grams with hash-partitioned count tables, done on packed columns and not on rows of
+Spark: a row for each n-gram of each block takes three times the room in a shuffle.
 
 Words are the lower-cased alphanumeric ones; texts without any (null, empty) have a log-probability of 0.
 ``docs`` is read twice, for the n-grams and for the words, and must be a deterministic read, which the last step
@@ -92,13 +97,12 @@ class Block:
             vocabulary, inverse = np.unique(h, return_inverse=True)
             yield 0, number, 0, self.ids, planes(lengths.astype("<u8")), pack_sorted(vocabulary), planes(inverse.astype("<u4"))
             return
-        cuts = (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)) if buckets > 1 else np.zeros(0, np.uint64)
         for k in range(1, order + 1):
             distinct, n = np.unique(grams(h, lengths, k)[0], return_counts=True)
-            edges = np.concatenate(([0], np.searchsorted(distinct, cuts), [len(distinct)]))
-            for bucket, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-                if high > low:
-                    yield bucket, number, k, None, pack_sorted(distinct[low:high]), planes(n[low:high].astype("<u4")), None
+            of = (distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # by leading bits, so in order
+            edges = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets), append=np.uint64(buckets)))
+            for low, high in zip(edges, edges[1:], strict=False):
+                yield int(of[low]), number, k, None, pack_sorted(distinct[low:high]), planes(n[low:high].astype("<u4")), None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,7 +193,7 @@ def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, alpha: float
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_words, log_prob, log_prob_per_word,
     and how many words were scored by a full n-gram (n_full) and by their own frequency alone (n_unigrams)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(20_000, max(8, size // 6 * order // bucket_grams + 1)))
+    buckets = max(8, size // 6 * order // bucket_grams + 1)
     answered = _explode(docs, buckets, order, block_words, False).groupBy("bucket").applyInArrow(_count, ROW_SQL)
     rows = _explode(docs, buckets, order, block_words, True).unionByName(answered)
     summed = rows.groupBy("block").applyInArrow(
