@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words remembered by a worker in each of two generations, the longest of them in bytes, and texts read at once.
-CACHE, CACHED_LENGTH, TEXTS = 400_000, 64, 256
+#: Words remembered by a worker in each of two generations, the longest of them in bytes, and bytes of text encoded at once.
+CACHE, CACHED_LENGTH, TEXT_BYTES = 400_000, 64, 4 << 20
 #: Stands in an .ids file for a null document id.
 NO_ID = np.iinfo("<i8").min
 
@@ -41,21 +41,52 @@ class Part:
     base: int = 0
 
 
-#: A chunk between white space that falls apart into letters, digits and signs, whatever stands beside each:
-#: ASCII without apostrophes (which may begin a contraction) and control characters, and Latin letters that
-#: no combining mark follows and that lower-casing leaves one letter.
-PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])*")
+#: A run of letters, whatever stands beside it: ASCII ones, and Latin ones that lower-casing leaves one letter.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+")
 #: Bytes of texts without combining marks; in these a letter may be lower-cased before it is normalised.
 COMMON = bytes([*range(0x80), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
-PARTS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: Classes of bytes: white space, letters, digits, signs. A chunk between white space with any other byte, among them
+#: apostrophes (which may begin a contraction), control characters and leading bytes of other scripts, stays whole.
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[*b" \t\n\r\x0b\x0c"]] = SPACE
+CLASS[0x21:0x7F] = SIGN
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = LETTER
+CLASS[0x30:0x3A] = DIGIT
+CLASS[0x27] = OTHER
+
+
+def cut(x: np.ndarray, cuts_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a text's bytes begin, and which bytes aren't white space.
+
+    Parts are the chunks between white space, and with ``cuts_words`` the runs of letters or signs and the
+    single digits in them.
+    """
+    kind = CLASS[x]
+    space = kind == SPACE
+    change = space[1:] != space[:-1]
+    if cuts_words:
+        odd = kind == OTHER
+        lead, rest = x[:-1], x[1:]
+        odd[:-1] |= (lead == 0xC3) & ((rest == 0x97) | (rest == 0xB7)) | (lead == 0xC4) & (rest == 0xB0)
+        inner = kind[1:] != kind[:-1]
+        inner |= kind[1:] == DIGIT
+        if odd.any():
+            chunk = np.cumsum(np.concatenate(([False], change)))
+            whole = np.zeros(chunk[-1] + 1, bool)
+            whole[chunk[odd]] = True
+            inner &= ~whole[chunk[1:]]
+        change |= inner
+    begins = np.concatenate(([True], change)) & ~space
+    return np.flatnonzero(begins), ~space
 
 
 class WordCache(dict):
-    """Ids of the chunks between white space, as little-endian bytes; two generations, so frequent ones stay.
+    """Ids of parts of texts, as little-endian bytes; two generations, so frequent ones stay.
 
     White space ends a token and no normalisation reaches across it in the tokenizers this is used with
     (``splits_at_space``), so a text's ids are its chunks' ids in turn. Where the tokenizer also
-    lower-cases and cuts letters, digits and signs apart (``cuts_words``), a chunk's ids are its parts'.
+    lower-cases and cuts letters, digits and signs apart (``cuts_words``), they are its parts'.
     """
 
     def __init__(self, tokenizer, dtype: str, cuts_words: bool):
@@ -65,63 +96,74 @@ class WordCache(dict):
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def remember(self, chunk: bytes, ids: bytes) -> None:
+    def remember(self, part: bytes, ids: bytes) -> None:
+        if len(part) > CACHED_LENGTH:
+            return
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        self[chunk] = ids
-
-    def encode(self, chunk: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            parts = PARTS.findall(chunk) if self.cuts_words and PLAIN.fullmatch(chunk) else ()
-            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.encode(chunk)
-        if len(chunk) <= CACHED_LENGTH:
-            self.remember(chunk, ids)
-        return ids
-
-    def prefetch(self, chunks: set[bytes]) -> None:
-        """Encodes what isn't known yet: the words of all chunks in long runs, which costs less than one by one."""
-        if not self.cuts_words:
-            return
-        new = [c for c in chunks if c not in self and c not in self.old and len(c) <= CACHED_LENGTH]
-        parts = {c: PARTS.findall(c) for c in new if not c.isalpha() and PLAIN.fullmatch(c)}
-        words = {c for c in new if c.isalpha()}
-        words.update(w for p in parts.values() for w in p if (w[0] >= 0x80 or w[:1].isalpha()) and w not in self and w not in self.old)
-        words = list(words)
+        self[part] = ids
+
+    def encode(self, part: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _encode_words(self, words: list[bytes]):
+        """(word, ids) of runs of letters: many in one run, which costs less than one by one."""
         for low in range(0, len(words), 500):
             run = words[low : low + 500]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(run).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(run):  # a word that isn't one run of letters to the tokenizer
+                yield from ((w, self.encode(w)) for w in run)
                 continue
-            data, size = ids.tobytes(), ids.itemsize
-            start = 0
-            for w, end in zip(run, (ends * size).tolist(), strict=True):
-                self.remember(w, data[start:end])
+            data, start = ids.tobytes(), 0
+            for w, end in zip(run, (ends * ids.itemsize).tolist(), strict=True):
+                yield w, data[start:end]
                 start = end
-        for c, p in parts.items():
-            if len(p) > 1:
-                self.remember(c, b"".join(map(self.__getitem__, p)))
+
+    def look_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
+        found = list(map(self.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        words: dict[bytes, int] = {}
+        for i in missing:
+            part = parts[i]
+            ids = self.old.get(part)
+            if ids is None:
+                if self.cuts_words and LETTERS.fullmatch(part):
+                    words[part] = i
+                    continue
+                ids = self.encode(part)
+            found[i] = ids
+            self.remember(part, ids)
+        for word, ids in self._encode_words(list(words)):
+            found[words[word]] = ids
+            self.remember(word, ids)
+        return found
+
+
+@dataclass(frozen=True)
+class Loaded:
+    tokenizer: object
+    dtype: str
+    words: WordCache | None  # None if only whole texts can be encoded
+    added: tuple[bytes, ...]  # added tokens, lower-cased: texts that hold one are encoded whole
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Loaded] = {}
 
 
-def load(path: str):
+def load(path: str) -> Loaded:
     """The tokenizer and its word cache, one for each worker process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         dtype = id_type(t.get_vocab_size())
         spec = json.loads(t.to_str())
-        _loaded[path] = t, WordCache(t, dtype, cuts_words(spec)) if splits_at_space(spec) else None, dtype
+        words = WordCache(t, dtype, cuts_words(spec)) if splits_at_space(spec) else None
+        _loaded[path] = Loaded(t, dtype, words, tuple(x["content"].lower().encode() for x in spec.get("added_tokens", [])))
     return _loaded[path]
 
 
@@ -151,15 +193,61 @@ def cuts_words(spec: dict) -> bool:
     )
 
 
-def encode_texts(loaded, raws: list[bytes]) -> list[bytes]:
-    """Ids of whole texts, as little-endian bytes."""
-    tokenizer, words, dtype = loaded
+def _encode_parts(words: WordCache, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts in turn, and how many each has; each distinct part is looked up once."""
+    dtype = np.dtype(words.dtype)
+    x = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    begins, solid = cut(x, words.cuts_words) if len(x) else (np.zeros(0, np.int64), np.zeros(0, bool))
+    place = np.concatenate(([0], np.cumsum(solid)))  # of each byte among those that aren't white space
+    offsets = np.append(place[begins], place[-1]).astype(np.int64)
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(x[solid])])
+    coded = parts.dictionary_encode()
+    found = words.look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    size = np.fromiter(map(len, found), np.int64, len(found)) // dtype.itemsize
+    ids, first = np.frombuffer(b"".join(found), dtype), np.cumsum(size) - size
+    of = coded.indices.to_numpy()
+    n = size[of]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    at = np.repeat(first[of] - ends[:-1], n) + np.arange(ends[-1])
+    begun = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return ids[at], np.diff(ends[np.searchsorted(begins, begun)])
+
+
+def encode_texts(loaded: Loaded, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts in turn, and how many each has."""
+    dtype, words = np.dtype(loaded.dtype), loaded.words
+    whole: dict[int, np.ndarray] = {}
+    texts = []
+    for i, raw in enumerate(raws):
+        lower = raw.lower()  # of bytes: ASCII letters only
+        if words is None or any(x in lower for x in loaded.added) or not raw.isascii() and any(x in raw.decode().lower().encode() for x in loaded.added):
+            whole[i] = np.array(loaded.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype)
+            texts.append(b"")
+        else:
+            texts.append(lower if words.cuts_words and not raw.translate(None, COMMON) else raw)
     if words is None:
-        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch([r.decode() for r in raws], add_special_tokens=False)]
-    lower = lambda r: r.lower() if words.cuts_words and not r.translate(None, COMMON) else r
-    chunks = [lower(r).split() for r in raws]  # of bytes: ASCII letters and white space only
-    words.prefetch(set().union(*chunks))
-    return [b"".join(map(words.__getitem__, c)) for c in chunks]
+        ids, n = np.zeros(0, dtype), np.zeros(len(raws), np.int64)
+    else:
+        ids, n = _encode_parts(words, texts)
+    if whole:
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        for i, own in whole.items():
+            parts[i], n[i] = own, len(own)
+        ids = np.concatenate(parts)
+    return ids, n
+
+
+def steps(raws: pa.Array) -> list[list[bytes]]:
+    """A batch's texts, null ones empty, by some ``TEXT_BYTES``."""
+    out, size = [[]], 0
+    for x in raws:
+        raw = x.as_py() or b""
+        if size + len(raw) > TEXT_BYTES and out[-1]:
+            out.append([])
+            size = 0
+        out[-1].append(raw)
+        size += len(raw)
+    return out
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> list[Part]:
@@ -171,8 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
 
     def run(batches):
         loaded = load(tokenizer)
-        dtype = np.dtype(loaded[2])
-        end = np.array([end_id], dtype).tobytes() if end_id is not None else b""
+        dtype = np.dtype(loaded.dtype)
         store, root = pafs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
@@ -184,16 +271,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
         ):
             offsets.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                ends = []
-                raws = batch.column(1).cast(pa.binary())
-                for low in range(0, len(raws), TEXTS):
-                    for data in encode_texts(loaded, [x.as_py() or b"" for x in raws[low : low + TEXTS]]):
-                        out.write(data)
-                        out.write(end)
-                        tokens += (len(data) + len(end)) // dtype.itemsize
-                        ends.append(tokens)
-                docs_n += len(ends)
-                offsets.write(np.array(ends, "<i8").tobytes())
+                for texts in steps(batch.column(1).cast(pa.binary())):
+                    data, n = encode_texts(loaded, texts)
+                    if end_id is not None:
+                        data, n = np.insert(data, np.cumsum(n), end_id), n + 1
+                    out.write(data.astype(dtype).tobytes())
+                    offsets.write((tokens + np.cumsum(n)).astype("<i8").tobytes())
+                    tokens += len(data)
+                docs_n += batch.num_rows
                 ids.write(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pylist(
             [{"name": name, "order": TaskContext.get().partitionId(), "docs": docs_n, "tokens": tokens}]
@@ -213,7 +298,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None)
         base += row.tokens
     store, root = pafs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    dtype = load(tokenizer)[2]
+    dtype = load(tokenizer).dtype
     with store.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({"dtype": dtype, "tokens": base, "parts": [asdict(p) for p in parts]}).encode())
     return parts
