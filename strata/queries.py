@@ -26,6 +26,7 @@ from strata.functions.types import MAX_FIELD_BYTES, holds_null, value_bytes
 from strata.operators.maintain import Settings, due
 from strata.plans.log import Segment
 from strata.plans.partitions import TEXT_SQL, PartitionFilter
+from strata.sources.datasource import register
 from strata.sources.rest import answer
 from strata.streaming.generator import EVENTS, METRICS, publish, random_rows
 from strata.streaming.ingest import ingest, progress_rows
@@ -120,6 +121,18 @@ def sql_count_star(spark, sf_dir):
     return spark.sql("select count(*) as n from strata_events")
 
 
+@query(f"{EVENTS_SQL} where event_id % 10 <> 0 and event_type <> 'click'")
+def read_format(spark, sf_dir):
+    """By Spark's reader, from a path and a table's name; rows deleted, and some compacted away."""
+    e = flat_table(spark, events(spark, sf_dir).drop("day"), EVENT_COLUMNS, {"event_type": "string"})
+    e.delete_where("t", "event_id % 20 = 0")
+    e.compact("t", force=True)
+    e.delete_where("t", "event_id % 10 = 0")
+    register(spark)
+    rows = spark.read.format("strata").option("path", e.store.uri("").rstrip("/")).option("table_name", "t").load()
+    return as_events(rows.where("event_type <> 'click'"))
+
+
 @query("select count(*) as n from events")
 def scan_count(spark, sf_dir):
     return event_table(spark, sf_dir).table("events").agg(F.count("*").alias("n"))

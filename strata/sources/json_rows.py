@@ -7,9 +7,8 @@ import binascii
 import datetime as dt
 import json
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,44 +77,43 @@ def rows(schema: TableSchema, body: str | bytes | list) -> list[tuple]:
     return [tuple(value(n, r.get(n), f) for n, f in schema.columns.items()) for r in body]
 
 
-def parse_column(schema: TableSchema, body: Column) -> dict[str, Column]:
-    """Columns of JSON objects in a string column, as strict as ``rows`` and distributed; bad ones raise in the job.
+def json_frame(schema: TableSchema, df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the table's columns in place of its JSON column, as strict as ``rows`` and distributed; bad ones raise in the job.
 
-    Keys are checked against the schema. Scalars are taken as raw text and checked before they are cast.
-    Lists keep Spark's parser with the element type, and must not come out null.
+    A first projection reads each object once: its keys, which of its values are quoted, and all scalars as raw text,
+    which the second checks and casts. Lists keep Spark's parser with the element type, and must not come out null.
     """
+    body = F.col(column)
     raw = T.StructType([T.StructField(n, T.StringType() if not f.nested_list_depth else spark_type(f.dtype if f.dtype not in ("bytes", "timestampMicros") else "string", f.nested_list_depth)) for n, f in schema.columns.items()])
-    keys = F.json_object_keys(body)
     allowed = F.array(*[F.lit(n) for n in schema.columns])
     fail = lambda what: F.raise_error(F.concat(F.lit(f"INVALID_ROW: {what}: "), F.substring(body, 1, 200)))
-    ok = keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0)
-    parsed = F.from_json(F.when(ok, body).otherwise(fail("not an object of the table's columns")), raw)
+    read = df.withColumns({
+        "_keys": F.json_object_keys(body), "_quoted": F.regexp_extract_all(body, F.lit(r'"(\w+)"\s*:\s*"'), F.lit(1)),
+        "_parsed": F.from_json(body, raw),
+    })
+    ok = F.col("_keys").isNotNull() & (F.size(F.array_except("_keys", allowed)) == 0)
     out = {}
     for n, f in schema.columns.items():
-        text = parsed[n]
-        given = F.array_contains(keys, n) & text.isNotNull()
+        text = F.col("_parsed")[n]
+        given = F.array_contains("_keys", n) & text.isNotNull()
         if f.nested_list_depth:
             plain = F.get_json_object(body, f"$.{n}")
-            out[n] = F.when(plain.isNotNull() & text.isNull(), fail(f"column {n}").cast(spark_type(f.dtype, f.nested_list_depth))).otherwise(text.cast(spark_type(f.dtype, f.nested_list_depth)))
-            continue
-        quoted = body.rlike(f'"{n}"\\s*:\\s*"')
-        if f.dtype == "string":
-            good, v = quoted, text
-        elif f.dtype == "int64":
-            good, v = ~quoted & text.rlike(INTEGER_SQL), text.try_cast("bigint")
-        elif f.dtype in ("float32", "float64"):
-            good, v = ~quoted & text.rlike(r"\A-?[0-9]"), text.try_cast("float" if f.dtype == "float32" else "double")
-        elif f.dtype == "bool":
-            good, v = ~quoted & text.isin("true", "false"), text.try_cast("boolean")
-        elif f.dtype == "bytes":
-            good, v = quoted, F.try_to_binary(text, F.lit("base64"))
+            bad, v = plain.isNotNull() & text.isNull(), text.cast(f.spark)
         else:
-            good, v = quoted & text.rlike(RFC3339_SQL), text.try_cast("timestamp")
-        out[n] = F.when(given & ~(good & v.isNotNull()), fail(f"column {n}").cast(f.spark)).otherwise(v)
-    return out
-
-
-def json_frame(schema: TableSchema, df: DataFrame, column: str) -> DataFrame:
-    """``df`` with the table's columns in place of its JSON column."""
-    parsed = parse_column(schema, F.col(column))
-    return reduce(lambda d, kv: d.withColumn(*kv), parsed.items(), df).drop(column)
+            quoted = F.array_contains("_quoted", n)
+            if f.dtype == "string":
+                good, v = quoted, text
+            elif f.dtype == "int64":
+                good, v = ~quoted & text.rlike(INTEGER_SQL), text.try_cast("bigint")
+            elif f.dtype in ("float32", "float64"):
+                good, v = ~quoted & text.rlike(r"\A-?[0-9]"), text.try_cast("float" if f.dtype == "float32" else "double")
+            elif f.dtype == "bool":
+                good, v = ~quoted & text.isin("true", "false"), text.try_cast("boolean")
+            elif f.dtype == "bytes":
+                good, v = quoted, F.try_to_binary(text, F.lit("base64"))
+            else:
+                good, v = quoted & text.rlike(RFC3339_SQL), text.try_cast("timestamp")
+            bad = given & ~(good & v.isNotNull())
+        out[n] = F.when(~ok, fail("not an object of the table's columns").cast(f.spark)).when(bad, fail(f"column {n}").cast(f.spark)).otherwise(v)
+    others = [c for c in df.columns if c != column and c not in out]
+    return read.select(*others, *(v.alias(n) for n, v in out.items()))
