@@ -98,7 +98,7 @@ def _text(value) -> str:
 
 
 def serve(engine: Engine, host: str = "127.0.0.1", port: int = 3841) -> ThreadingHTTPServer:
-    """Starts the service in a thread of its own; ``shutdown()`` ends it."""
+    """Starts the service in a thread of its own, and the engine's flushes and maintenance; ``shutdown()`` ends both."""
 
     class Handler(BaseHTTPRequestHandler):
         def _do(self) -> None:
@@ -116,6 +116,35 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 3841) -> Threadin
         def log_message(self, *_) -> None:
             pass
 
-    server = ThreadingHTTPServer((host, port), Handler)
+    class Server(ThreadingHTTPServer):
+        def shutdown(self) -> None:
+            super().shutdown()
+            engine.stop()
+
+    server = Server((host, port), Handler)
+    engine.start()
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return server
+
+
+def main(argv: list[str] | None = None) -> None:
+    """``python -m strata.sources.rest --dir ... --port ...``: what crashes have left is mended first."""
+    from pyspark.sql import SparkSession
+
+    from strata.config import options
+
+    o = options(argv)
+    place = {k: o.pop(k) for k in ("dir", "host", "port")}
+    engine = Engine(SparkSession.builder.getOrCreate(), place["dir"], **o)
+    engine.recover()
+    server = serve(engine, place["host"], place["port"])
+    try:
+        threading.Event().wait()
+    except KeyboardInterrupt:
+        server.shutdown()
+
+
+if __name__ == "__main__":
+    import sys
+
+    main(sys.argv[1:])

@@ -35,7 +35,16 @@ def test_service(spark, tmp_path):
     found = call("GET", "list_segments", {"tableName": "p", "includeMetadata": True})[1]["segments"]
     assert found[0]["metadata"] == {"rowCount": 1} and found[0]["partition"] == {"day": "2022-01-01T00:00:00Z"}
     one = {"tableName": "p", "partition": found[0]["partition"], "segmentId": found[0]["segmentId"]}
+    for i in range(4):
+        assert call("POST", "write_to_partition", row | {"rows": [{"user_id": f"u{i}", "cents": i}]}) == (200, {})
+    read = one | {"columnName": "user_id", "correlationId": "r", "pageRows": 3}
+    status, page = call("GET", "read_segment_column", read)
+    assert status == 200 and [x["rowId"] for x in page["rows"]] == [0, 1, 2] and page["rows"][1]["value"] == "u0"
+    status, rest = call("GET", "read_segment_column", read | {"continuationToken": page["continuationToken"]})
+    assert [x["value"] for x in rest["rows"]] == ["u2", "u3"] and "continuationToken" not in rest
+    assert call("GET", "read_segment_column", one | {"columnName": "user_id"})[0] == 400
     assert call("POST", "delete_from_segment", one | {"rowIds": [0]}) == (200, {"nDeleted": 1})
+    assert call("GET", "read_segment_deletions", one | {"correlationId": "d"}) == (200, {"rowIds": [0]})
     assert call("POST", "drop_table", {"tableName": "p"}) == (200, {}) and call("POST", "drop_table", {"tableName": "p"})[0] == 404
     assert call("POST", "nonsense", {})[0] == 404 and call("POST", "drop_table", {})[0] == 400
     server.shutdown()
