@@ -209,10 +209,10 @@ def _of(counts: str, i: Column) -> Column:
     return F.coalesce(F.try_element_at(counts, i), F.lit(0.0))
 
 
-def host_priors(scored: DataFrame, clear: DataFrame, overall: list[float]) -> DataFrame:
+def host_priors(spark: SparkSession, scored: DataFrame, clear: DataFrame, overall: list[float]) -> DataFrame:
     """A row for each host: _host, and _p, its languages' shares smoothed from domain to domain."""
     parts = F.split("_host", r"\.")
-    counted = _counted(clear, "_host")
+    counted = staged(spark, _counted(clear, "_host"), "host-counts")
     hosts = scored.where("_host is not null").select("_host").distinct().withColumn("_p", F.array(*[F.lit(p) for p in overall]))
     smoothed = F.transform("_p", lambda p, i: (_of("m", i) + STRENGTH * p) / (F.coalesce("t", F.lit(0.0)) + STRENGTH))
     for width in (*DOMAINS, None):
@@ -257,7 +257,7 @@ def identify(
         unknown += F.coalesce(f"{name}_u", F.lit(0.0))
     prior = F.array(*[F.lit(float(np.log(p))) for p in overall])
     if used_host:
-        hosts = host_priors(scored, clear, overall).select(F.col("_host").alias("_host_k"), F.transform("_p", lambda p: F.log(p)).alias("_host_l"))
+        hosts = host_priors(spark, scored, clear, overall).select(F.col("_host").alias("_host_k"), F.transform("_p", lambda p: F.log(p)).alias("_host_l"))
         fused = fused.join(hosts, F.col("_host") == F.col("_host_k"), "left")
         prior = F.coalesce("_host_l", prior)
     fused = fused.withColumn("_post", _posterior(F.concat(_add(logs, prior), F.array(unknown)))).withColumn("confidence", F.array_max(F.slice("_post", 1, size)))
