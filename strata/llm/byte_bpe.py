@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding over a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each adjacent pair whose concatenation has a
-merge rank is put in that rank's bucket; a three-level bitmap over the ranks tells by
+merge rank is put in that rank's bucket; a two-level bitmap over the ranks tells by
 find-first-set which bucket is lowest. A popped entry whose pair has changed since is
 stale and skipped. A merge makes at most two new pairs, so a pre-token of n bytes costs
 O(n log n) whatever its length; nothing is scanned again for the next merge.

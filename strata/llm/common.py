@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests in one JVM, a temporary folder is made and set.
+    Only where that is unset and all runs in one JVM, as in tests, a temporary folder is made and set.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
@@ -36,6 +36,8 @@ def shared_root(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strata-checkpoint-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)
@@ -48,10 +50,24 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def staged(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there."""
+    """``df`` written to the shared folder and read again: lineage ends there. It goes when the driver's JVM does."""
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_at_exit(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's JVM delete an existing path when it ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def unstage(spark: SparkSession, table: DataFrame) -> None:
+    """Deletes what ``staged`` wrote, once nothing reads it any more."""
+    drop_path(spark, table.staged_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
