@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import byte_bpe, decontaminate, language_id, simhash, suffix_dedup
-from strata.llm.common import shared_path, table
+from strata.llm.common import staged, table, unstage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold windows of two benchmark items or more."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of any benchmark item: one is enough to leak it."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for i, (name, stage) in enumerate(STAGES):
+        kept = staged(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if i:
+            unstage(spark, docs)
+        docs = kept
     return docs
