@@ -91,12 +91,12 @@ class Writer:
         self.spark, self.catalog, self.store = spark, catalog, catalog.store
         self.target_rows, self.target_bytes, self.shards_log = target_rows, target_bytes, shards_log
 
-    def write(self, table: str, df: DataFrame, stream: str | None = None, batch: int | None = None, layout: str = "rebalance", own_times: bool = False, journals: list[str] | None = None, done: list[str] | None = None) -> dict:
+    def write(self, table: str, df: DataFrame, stream: str | None = None, batch: int | None = None, layout: str = "rebalance", own_times: bool = False, journal: str | None = None, done: list[str] | None = None) -> dict:
         """Appends ``df``; of a stream, a batch that is committed already is skipped.
 
         All rows get one time of writing, unless ``own_times`` says that they bring theirs as ``_written_at``.
-        ``journals`` are the staged writes that ``df`` holds: if a commit has taken one in, nothing is added; ``done`` are
-        those whose files are gone, which the log needn't know any more.
+        ``journal`` has the staged writes that ``df`` holds: if a commit has taken it in, nothing is added; ``done`` are
+        journals that are gone, which the log needn't know any more.
 
         ``layout="rebalance"`` brings a partition's rows together in few files, splitting hot partitions;
         ``"as_is"`` writes them where they are, without a shuffle.
@@ -113,7 +113,7 @@ class Writer:
         try:
             (rows.write.partitionBy(*paths) if paths else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
             files = self._written(state.schema, staging, rows)
-            return self._commit(table, files, at, stream, batch, {"journals": journals or [], "done": done or []})
+            return self._commit(table, files, at, stream, batch, {"journal": journal, "done": done})
         except PySparkException as e:
             raise job_error(e) from e
         finally:
@@ -137,7 +137,7 @@ class Writer:
         placed = {path: path for _, path, _, _ in files}
         for _ in range(RETRIES):
             state = self.catalog.state(table)
-            if stream is not None and state.batches.get(stream, -1) >= batch or any(j in state.batches for j in staged["journals"]):
+            if stream is not None and state.batches.get(stream, -1) >= batch or staged["journal"] in state.batches:
                 return {"rows": 0, "segments": []}
             commit = self.assign(state, files, at) | {k: v for k, v in staged.items() if v}
             commit |= {"stream": stream, "batch": batch} if stream is not None else {}
