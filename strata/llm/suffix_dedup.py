@@ -5,19 +5,23 @@ leftmost least hash of ``K`` words (its minimiser). Equal windows select equal p
 occurrences of a passage of ``min_words`` words or more share a kept suffix. Suffixes whose minimiser
 occurs once are dropped by a grouped count; the others get the words around them, meet by minimiser,
 are sorted by what follows (a suffix array) and, reversed, by what precedes. Neighbours' common
-prefix lengths cut both orders into classes; a window that uses l words before and r after the
-position is repeated exactly if another suffix shares its class at l and its class at r. So every
-match is extended left and right, not only that of neighbours, without comparing all pairs.
+prefix lengths cut both orders into classes; a window of l words before and r after the position is
+repeated exactly if another suffix shares its class at l and its class at r. So every match is extended
+left and right, not only that of neighbours, without comparing all pairs. A suffix is extended over the
+windows that select it, so each window is met once.
 
-Minimisers of more than ``HOT`` suffixes, which would make a task that grows with a hot passage, are
-compared by the same windows' hashes in grouped aggregation instead, with equal results.
+A minimiser of more than ``hot`` suffixes would make a task that grows with its passage. Its suffixes are
+split by document into groups of about ``GROUP``. Each group sorts its own suffixes in the same way and sends
+one row for each of its classes, however many members that has; classes meet by the hash of their window,
+and a group gets back those of its classes that occur in two documents. No member is sent by its window.
 
 A passage counts as repeated if it occurs in two different documents. Of each repeated window the
 occurrence of the smallest (doc_id, position) is the first; ``cut`` takes the others out.
 
-Words are runs of anything but ASCII white space, compared byte for byte. Texts of fewer than
-``min_words`` words, null and empty ones have no passages. Rows that repeat an id and a text are one
-document; rows with one id but different texts are different documents. Null ids take part, and are first.
+Words are runs of anything but ASCII white space. They are compared by 32 bits of their XXH64, all words of a
+window in turn, and the classes of split minimisers by 128 bits over these. Texts of fewer than ``min_words``
+words, null and empty ones have no passages. Rows that repeat an id and a text are one document; rows with one
+id but different texts are different documents. Ids are of any type that sorts; null ids take part, and are first.
 """
 
 from __future__ import annotations
@@ -26,17 +30,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from strata.llm.common import raw_texts, staged
-from strata.llm.hashing import run_hashes, word_hashes
+from strata.llm.common import raw_texts, staged, unstage
+from strata.llm.hashing import STEP, mixed, run_hashes, word_hashes
 
 MIN_WORDS, K = 50, 8
 #: Suffixes compared at once, but for a single larger group.
 CHUNK = 30_000
-#: Suffixes of one minimiser from which on they are compared window by window.
-HOT = 5_000
+#: Suffixes of one minimiser from which on they are split by document, and suffixes in such a group, about.
+HOT, GROUP = 5_000, 4_096
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -90,54 +96,17 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, h long, key long, ats array<int>")
 
 
-def _windows(df: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc_id, h, text, ats) to a row for each window around a suffix: its start and 64-bit hash."""
-    id_type = df.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            for i, raw in enumerate(raw_texts(batch.column(2))):
-                hashes = run_hashes(word_hashes(raw.split()), min_words)
-                marks = np.zeros(len(hashes) + min_words, np.int64)
-                at = np.array(batch.column(3)[i].as_py(), np.int64)
-                np.add.at(marks, np.maximum(at - (min_words - K), 0), 1)
-                np.add.at(marks, np.minimum(at + 1, len(hashes)), -1)
-                start = np.flatnonzero(np.cumsum(marks)[: len(hashes)] > 0)
-                for low in range(0, len(start), 1 << 16):
-                    part = start[low : low + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch.column(0)[i].as_py()] * len(part), batch.schema.field(0).type),
-                            pa.array([batch.column(1)[i].as_py()] * len(part), pa.int64()),
-                            pa.array(part.astype(np.int32)), pa.array(hashes[part].view(np.int64)),
-                        ],
-                        names=["doc_id", "h", "start", "window"],
-                    )
-
-    return df.mapInArrow(run, f"doc_id {id_type}, h long, start int, window long")
+#: Of a suffix, or in lists of some thousand suffixes of a document.
+CONTEXT = "at int, least int, most int, key long, around binary"
+CONTEXTS = "at array<int>, least array<int>, most array<int>, key array<long>, around binary"
 
 
-def _compare_hot(spark: SparkSession, texts: DataFrame, min_words: int) -> DataFrame:
-    """The spans of suffixes whose minimisers are very frequent, window by window.
+def _contexts(df: DataFrame, min_words: int, lists: bool = False) -> DataFrame:
+    """Rows (doc_id, h, text, ats) to a row for each suffix, or with ``lists`` to one for many of a document's.
 
-    A window's first and last documents are grouped extremes, combined before their shuffle, and the join
-    back has one row a window on its other side: no task's share grows with a minimiser's group.
+    ``around`` has the 32-bit hashes of the words around it; ``least`` and ``most`` are the numbers of words
+    before it in the windows that select it.
     """
-    rows = staged(spark, _windows(texts, min_words), "windows")
-    place = F.struct("doc_id", "h", "start")
-    classes = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(F.struct("doc_id", "h")).alias("last"))
-    classes = classes.where("not (first.doc_id <=> last.doc_id and first.h <=> last.h)").select("window", "first")
-    joined = rows.join(classes, "window")
-    lead = F.expr("first.doc_id <=> doc_id and first.h <=> h and first.start <=> start")
-    end = F.col("start") + min_words
-    return joined.select(
-        "doc_id", "h", "start", end.alias("end"), F.when(lead, 0).otherwise(F.col("start")).alias("cut_start"),
-        F.when(lead, 0).otherwise(end).alias("cut_end"), F.col("first.doc_id").alias("first_doc_id"),
-    )
-
-
-def _contexts(df: DataFrame, min_words: int) -> DataFrame:
-    """Rows (doc_id, h, text, ats) to a row for each suffix: the 32-bit word hashes around it."""
     id_type = df.schema["doc_id"].dataType.simpleString()
     before, after = min_words - K, min_words
 
@@ -145,27 +114,32 @@ def _contexts(df: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             for i, raw in enumerate(raw_texts(batch.column(2))):
                 h = word_hashes(raw.split())
-                at = np.unique(np.array(batch.column(3)[i].as_py(), np.int64))
-                key = run_hashes(h, K)[at].view(np.int64)
+                runs = run_hashes(h, K)
+                select = _least(runs, before + 1)
+                wanted = np.zeros(len(runs), bool)
+                wanted[np.array(batch.column(3)[i].as_py(), np.int64)] = True
+                start = np.flatnonzero(wanted[select])
+                at, first, n = np.unique(select[start], return_index=True, return_counts=True)
+                most, least = at - start[first], at - start[first + n - 1]
                 short = np.concatenate((np.zeros(before, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(after, np.uint32)))
                 around = np.lib.stride_tricks.sliding_window_view(short, before + after)
                 for low in range(0, len(at), 4096):
-                    part = at[low : low + 4096]
-                    n = len(part)
+                    part = slice(low, low + 4096)
+                    n = len(at[part])
+                    columns = [*(pa.array(x[part].astype(np.int32)) for x in (at, least, most)), pa.array(runs[at[part]].view(np.int64))]
+                    if lists:
+                        columns = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), c) for c in columns]
+                    words = [around[at[part]].tobytes()] if lists else [row.tobytes() for row in around[at[part]]]
+                    n = len(words)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([batch.column(0)[i].as_py()] * n, batch.schema.field(0).type),
-                            pa.array([batch.column(1)[i].as_py()] * n, pa.int64()),
-                            pa.array(part.astype(np.int32)),
-                            pa.array(key[low : low + 4096]),
-                            pa.array(np.minimum(part, before).astype(np.int32)),
-                            pa.array(np.minimum(len(h) - part, after).astype(np.int32)),
-                            pa.array([row.tobytes() for row in around[part]], pa.binary()),
+                            pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), *columns, pa.array(words, pa.binary()),
                         ],
-                        names=["doc_id", "h", "at", "key", "n_before", "n_after", "around"],
-                    )
+                        names=["doc_id", "h", "at", "least", "most", "key", "around"],
+                    )
 
-    return df.mapInArrow(run, f"doc_id {id_type}, h long, at int, key long, n_before int, n_after int, around binary")
+    return df.mapInArrow(run, f"doc_id {id_type}, h long, {CONTEXTS if lists else CONTEXT}")
 
 
 def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,78 +157,126 @@ def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate(([-1], prefix))
 
 
-def compare(group, doc, at, n_before, n_after, around, min_words: int = MIN_WORDS):
-    """Spans of suffixes whose windows are repeated.
+def _by_window(group, doc, at, least, most, around, min_words: int):
+    """For each number of words before the suffixes: the rows with a window there, by class and place, and which begin a class.
 
-    ``group`` and ``doc`` are small integers, doc in the order of (doc_id, text). Returns the rows
-    that have a repeated window, their spans, the spans of windows that aren't first occurrences
-    (empty where there are none) and the first document that has one of their windows.
+    ``group`` and ``doc`` are small integers, doc in the order of (doc_id, h).
     """
     before = around.shape[1] - min_words
     right, right_lcp = _classes(around[:, before:], group)
     left, left_lcp = _classes(around[:, :before][:, ::-1], group)
     n = len(group)
-    none = np.iinfo(np.int64).max
-    low, high = np.full(n, none), np.zeros(n, np.int64)
-    cut_low, cut_high, first = np.full(n, none), np.zeros(n, np.int64), np.full(n, none)
     place = doc.astype(np.int64) << 32 | at
     of_right, of_left = np.empty(n, np.int64), np.empty(n, np.int64)
     for l in range(before + 1):  # noqa: E741
-        r = min_words - l
-        rows = np.flatnonzero((n_before >= l) & (n_after >= r))
-        if len(rows) < 2:
+        rows = np.flatnonzero((least <= l) & (l <= most))
+        if not len(rows):
             continue
-        of_right[right] = np.cumsum(right_lcp < r)
+        of_right[right] = np.cumsum(right_lcp < min_words - l)
         of_left[left] = np.cumsum(left_lcp < l)
         key = of_right[rows] * (n + 1) + of_left[rows]
         order = np.lexsort((place[rows], key))
         rows, key = rows[order], key[order]
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(rows)) - 1
-        of = np.cumsum(new) - 1
-        leader = doc[rows[begin]]
-        held = (leader != doc[rows[end]])[of]
-        leader, rows, lead = leader[of][held], rows[held], new[held]
-        low[rows], high[rows] = np.minimum(low[rows], at[rows] - l), np.maximum(high[rows], at[rows] + r)
-        first[rows] = np.minimum(first[rows], leader)
-        later = rows[~lead]
-        cut_low[later], cut_high[later] = np.minimum(cut_low[later], at[later] - l), np.maximum(cut_high[later], at[later] + r)
-    rows = np.flatnonzero(high)
-    return rows, low[rows], high[rows], np.where(cut_high[rows] > 0, cut_low[rows], 0), cut_high[rows], first[rows]
-
-
-def _compare_sorted(batches, min_words: int, id_type: pa.DataType):
-    """Whole groups of the rows sorted by key, a chunk at a time."""
-
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        key = t.column("key").to_numpy()
-        group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-        counts = np.bincount(group)
-        t = t.filter(pa.array(counts[group] > 1))
-        ids = t.column("doc_id").to_pylist()
-        places = sorted(set(zip(ids, t.column("h").to_pylist(), strict=True)), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or 0))
-        number = {x: i for i, x in enumerate(places)}
-        doc = np.array([number[x] for x in zip(ids, t.column("h").to_pylist(), strict=True)], np.int64)
-        group = group[counts[group] > 1]
-        at = t.column("at").to_numpy().astype(np.int64)
-        width = 2 * min_words - K
-        raw = b"".join(x.as_py() for x in t.column("around"))
-        around = np.frombuffer(raw, np.uint32).reshape(-1, width)
-        rows, low, high, cut_low, cut_high, first = compare(
-            group, doc, at, t.column("n_before").to_numpy(), t.column("n_after").to_numpy(), around, min_words
-        ) if len(at) else [np.zeros(0, np.int64)] * 6
-        take = pa.array(rows)
+        yield l, rows, np.concatenate(([True], key[1:] != key[:-1]))
+
+
+class _Found:
+    """Spans of suffixes whose windows are repeated: all of them, and those of windows that aren't first occurrences."""
+
+    def __init__(self, at: np.ndarray, min_words: int):
+        self.at, self.min_words = at, min_words
+        none = np.full(len(at), np.iinfo(np.int64).max)
+        self.low, self.cut_low, self.first = none, none.copy(), none.copy()
+        self.high, self.cut_high = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+
+    def add(self, l: int, rows: np.ndarray, leader: np.ndarray, lead: np.ndarray) -> None:  # noqa: E741
+        """``leader``: the first document, as a small integer; ``lead``: whether the row is the first occurrence itself."""
+        start = self.at[rows] - l
+        self.low[rows] = np.minimum(self.low[rows], start)
+        self.high[rows] = np.maximum(self.high[rows], start + self.min_words)
+        self.first[rows] = np.minimum(self.first[rows], leader)
+        later, start = rows[~lead], start[~lead]
+        self.cut_low[later] = np.minimum(self.cut_low[later], start)
+        self.cut_high[later] = np.maximum(self.cut_high[later], start + self.min_words)
+
+    def batch(self, places: list, doc: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+        """A row for each of a document's spans, those that overlap made one."""
+        rows, later = np.flatnonzero(self.high), np.flatnonzero(self.cut_high)
+        cut, low, high = _united(doc[later], self.cut_low[later], self.cut_high[later])
+        whole, start, end = _united(doc[rows], self.low[rows], self.high[rows])
+        known = dict.fromkeys(zip(cut.tolist(), low.tolist(), high.tolist(), strict=True))  # what is cut is repeated too
+        more = np.array([x not in known for x in zip(whole.tolist(), start.tolist(), end.tolist(), strict=True)], bool)
+        none = np.zeros(int(more.sum()), np.int64)
+        at = np.concatenate((cut, whole[more]))
+        first = np.full(len(places), np.iinfo(np.int64).max)
+        np.minimum.at(first, doc[rows], self.first[rows])
+        of = lambda i, c, kind: pa.array([places[k][c] for k in i.tolist()], kind)
+        spans = np.concatenate((low, start[more])), np.concatenate((high, end[more])), np.concatenate((low, none)), np.concatenate((high, none))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[i] for i in rows.tolist()], id_type),
-                t.column("h").take(take).combine_chunks(),
-                *(pa.array(x.astype(np.int32)) for x in (low, high, cut_low, cut_high)),
-                pa.array([places[i][0] for i in first.tolist()], id_type),
-            ],
+            [of(at, 0, id_type), of(at, 1, pa.int64()), *(pa.array(x.astype(np.int32)) for x in spans), of(first[at], 0, id_type)],
             names=["doc_id", "h", "start", "end", "cut_start", "cut_end", "first_doc_id"],
         )
 
+
+def _united(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents, those of one that meet made one."""
+    order = np.lexsort((low, doc))
+    base = doc[order] << 32
+    low, high = base | low[order], np.maximum.accumulate(base | high[order])
+    new = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1]))) if len(low) else np.zeros(0, np.int64)
+    end = np.append(new[1:], len(low))[: len(new)] - 1
+    return low[new] >> 32, low[new] & 0xFFFFFFFF, high[end] & 0xFFFFFFFF
+
+
+def _documents(ids: list, hashes: list) -> tuple[list, dict]:
+    """The distinct (doc_id, h) in order, null ids first, and each one's number."""
+    places = sorted(set(zip(ids, hashes, strict=True)), key=lambda x: (x[0] is not None, *x))
+    return places, {x: i for i, x in enumerate(places)}
+
+
+def _flat(t: pa.Table, name: str) -> np.ndarray:
+    """A value for each suffix, of rows of either kind."""
+    column = t.column(name)
+    return (pc.list_flatten(column) if pa.types.is_list(column.type) else column).to_numpy()
+
+
+def _numbers(t: pa.Table, number: dict) -> np.ndarray:
+    """Each suffix's document."""
+    doc = np.array([number[x] for x in zip(t.column("doc_id").to_pylist(), t.column("h").to_pylist(), strict=True)], np.int64)
+    at = t.column("at")
+    return np.repeat(doc, pc.list_value_length(at).to_numpy()) if pa.types.is_list(at.type) else doc
+
+
+def _columns(t: pa.Table, min_words: int):
+    """Numbers of the keys and documents, and what else ``_by_window`` takes."""
+    places, number = _documents(t.column("doc_id").to_pylist(), t.column("h").to_pylist())
+    doc = _numbers(t, number)
+    group = np.unique(_flat(t, "key"), return_inverse=True)[1]
+    at, least, most = (_flat(t, c).astype(np.int64) for c in ("at", "least", "most"))
+    around = np.frombuffer(b"".join(x.as_py() for x in t.column("around")), np.uint32).reshape(-1, 2 * min_words - K)
+    return places, doc, (group, doc, at, least, most, around, min_words)
+
+
+def _compare_sorted(batches, min_words: int):
+    """Whole groups of the rows sorted by key, a chunk at a time."""
+
+    def flush(t: pa.Table):
+        key = t.column("key").to_numpy()
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        t = t.filter(pa.array(counts[inverse] > 1))
+        if not t.num_rows:
+            return
+        places, doc, columns = _columns(t, min_words)
+        found = _Found(columns[2], min_words)
+        for l, rows, new in _by_window(*columns):  # noqa: E741
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(rows)) - 1
+            of = np.cumsum(new) - 1
+            leader = doc[rows[begin]]
+            held = (leader != doc[rows[end]])[of]
+            found.add(l, rows[held], leader[of][held], new[held])
+        yield found.batch(places, doc, t.schema.field("doc_id").type)
+
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
@@ -266,10 +288,75 @@ def _compare_sorted(batches, min_words: int, id_type: pa.DataType):
         key = t.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield flush(t.slice(0, cut))
+            yield from flush(t.slice(0, cut))
         held, n = t.slice(cut).combine_chunks().to_batches(), t.num_rows - cut
     if n:
-        yield flush(pa.Table.from_batches(held).combine_chunks())
+        yield from flush(pa.Table.from_batches(held).combine_chunks())
+
+
+def _window_hashes(around: np.ndarray, l: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: E741
+    """128 bits over the words of each row's window with l words before the suffix."""
+    low = around.shape[1] - min_words - l
+    a = np.zeros(len(around), np.uint64)
+    b = np.full(len(around), STEP)
+    for word in around[:, low : low + min_words].T.astype(np.uint64):
+        a = a * STEP + word
+        b = mixed(b ^ word)
+    return mixed(a).view(np.int64), b.view(np.int64)
+
+
+def _split(spark: SparkSession, contexts: DataFrame, groups: int, min_words: int) -> DataFrame:
+    """The same as ``_compare_sorted`` for minimisers whose suffixes are split by document."""
+    id_type = contexts.schema["doc_id"].dataType
+    arrow_id, id_name = to_arrow_type(id_type), id_type.simpleString()
+    rows = staged(spark, contexts.withColumn("g", F.pmod(F.xxhash64("doc_id", "h"), F.lit(groups)).cast("int")), "split")
+
+    def summarise(t: pa.Table) -> pa.Table:
+        places, doc, columns = _columns(t, min_words)
+        at, around = columns[2], columns[5]
+        parts = []
+        for l, order, new in _by_window(*columns):  # noqa: E741
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(order)) - 1
+            lead, last = order[begin], order[end]
+            parts.append((*_window_hashes(around[lead], l, min_words), doc[lead], at[lead] - l, doc[last]))
+        a, b, first, start, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+        of = lambda at, c, kind: pa.array([places[i][c] for i in at.tolist()], kind)
+        g = pa.array(np.full(len(a), t.column("g")[0].as_py(), np.int32))
+        return pa.table(
+            [g, pa.array(a), pa.array(b), of(first, 0, arrow_id), of(first, 1, pa.int64()), pa.array(start.astype(np.int32)), of(last, 0, arrow_id), of(last, 1, pa.int64())],
+            names=["g", "a", "b", "doc_id", "h", "start", "last_id", "last_h"],
+        )
+
+    schema = f"g int, a long, b long, doc_id {id_name}, h long, start int, last_id {id_name}, last_h long"
+    sent = staged(spark, rows.groupBy("g").applyInArrow(summarise, schema), "classes")
+    shared = sent.groupBy("a", "b").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.max(F.struct("last_id", "last_h")).alias("last"))
+    shared = shared.where("not (first.doc_id <=> last.last_id and first.h <=> last.last_h)").select("a", "b", "first")
+    back = sent.select("g", "a", "b").join(shared, ["a", "b"]).select("g", "a", "b", "first.doc_id", "first.h", "first.start")
+
+    def apply(t: pa.Table, known: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        first = {(a, b): (d, h, s) for a, b, d, h, s in zip(*(known.column(c).to_pylist() for c in ("a", "b", "doc_id", "h", "start")), strict=True)}
+        ids, hashes = t.column("doc_id").to_pylist(), t.column("h").to_pylist()
+        places, number = _documents([*ids, *(x[0] for x in first.values())], [*hashes, *(x[1] for x in first.values())])
+        doc = _numbers(t, number)
+        at, least, most, around = _columns(t, min_words)[2][2:6]
+        found = _Found(at, min_words)
+        for l in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):  # noqa: E741
+            rows = np.flatnonzero((least <= l) & (l <= most))
+            answers = [first.get(x) for x in zip(*(x.tolist() for x in _window_hashes(around[rows], l, min_words)), strict=True)]
+            held = np.array([x is not None for x in answers], bool)
+            leader = np.array([number[x[0], x[1]] for x in answers if x], np.int64)
+            start = np.array([x[2] for x in answers if x], np.int64)
+            rows = rows[held]
+            found.add(l, rows, leader, (leader == doc[rows]) & (start == at[rows] - l))
+        return pa.Table.from_batches([found.batch(places, doc, arrow_id)])
+
+    return rows.groupBy("g").cogroup(back.groupBy("g")).applyInArrow(apply, _spans_schema(id_name))
+
+
+def _spans_schema(id_name: str) -> str:
+    return f"doc_id {id_name}, h long, start int, end int, cut_start int, cut_end int, first_doc_id {id_name}"
 
 
 def _merge_spans(pairs: list) -> list[list[int]]:
@@ -282,7 +369,7 @@ def _merge_spans(pairs: list) -> list[list[int]]:
     return out
 
 
-def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, hot: int = HOT, group: int = GROUP) -> DataFrame:
     """A row for each document of ``docs(doc_id, text)`` that shares a passage with another.
 
     ``doc_id``, ``h`` (hash of its text), ``spans`` and ``cuts`` (word positions of its repeated
@@ -295,22 +382,25 @@ def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, ho
     shared = suffixes.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum(F.size("ats")).alias("n")).where("n_docs > 1")
     shared = suffixes.join(shared.select("key", (F.col("n") > hot).alias("hot")), "key").select("doc_id", "h", "ats", "hot")
     shared = staged(spark, shared, "shared")
-    wanted = shared.groupBy("doc_id", "h", "hot").agg(F.flatten(F.collect_list("ats")).alias("ats"))
-    wanted = staged(spark, wanted, "wanted").withColumnsRenamed({"doc_id": "d", "h": "g"})
+    unstage(spark, suffixes)
+    of = lambda c: F.flatten(F.collect_list(F.when(c, F.col("ats"))))
+    wanted = staged(spark, shared.groupBy("doc_id", "h").agg(of(~F.col("hot")).alias("ats"), of(F.col("hot")).alias("hots")), "wanted")
+    unstage(spark, shared)
+    n_hot = wanted.agg(F.sum(F.size("hots"))).first()[0] or 0
+    wanted = wanted.withColumnsRenamed({"doc_id": "d", "h": "g"})
     on = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
-    texts = lambda own: keyed.join(own.hint("shuffle_hash"), on).select("doc_id", "h", "text", "ats")
-    contexts = _contexts(texts(wanted.where("not hot")), min_words)
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    found = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(
-        lambda batches: _compare_sorted(batches, min_words, arrow_id),
-        f"doc_id {id_type}, h long, start int, end int, cut_start int, cut_end int, first_doc_id {id_type}",
-    )
-    if wanted.where("hot").limit(1).count():
-        found = found.unionByName(_compare_hot(spark, texts(wanted.where("hot")), min_words))
+
+    def contexts(which: str) -> DataFrame:
+        own = wanted.where(F.size(which) > 0).hint("shuffle_hash")
+        return _contexts(keyed.join(own, on).select("doc_id", "h", "text", which), min_words, which == "hots")
+
+    found = contexts("ats").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _compare_sorted(batches, min_words), _spans_schema(id_type))
+    if n_hot:
+        found = found.unionByName(_split(spark, contexts("hots"), n_hot // group + 1, min_words))
     grouped = found.groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("start", "end")).alias("spans"),
         F.collect_list(F.when(F.col("cut_end") > 0, F.struct(F.col("cut_start").alias("start"), F.col("cut_end").alias("end")))).alias("cuts"),
-        F.min("first_doc_id").alias("first_doc_id"),
+        F.min(F.struct("first_doc_id"))["first_doc_id"].alias("first_doc_id"),
     )
     span = "array<struct<start:int,end:int>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
