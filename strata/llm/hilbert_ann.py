@@ -213,6 +213,14 @@ def _search_sorted(batches, size: int, k: int):
                 yield _nearest(keys[start : start + step], q[start : start + step], x, squares, ids, k)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, squares added dimension by dimension: the same wherever they are taken."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += (x[:, j] - q[j]) ** 2
+    return np.sqrt(total)
+
+
 def _nearest(keys: list, q: np.ndarray, x: np.ndarray, squares: np.ndarray, ids: list, k: int) -> pa.RecordBatch:
     about = squares[None, :] - 2 * q @ x.T + (q**2).sum(axis=1)[:, None]
     n = min(k + 1, len(x))
@@ -221,7 +229,7 @@ def _nearest(keys: list, q: np.ndarray, x: np.ndarray, squares: np.ndarray, ids:
     asked, score, found = [], [], []
     for i, key in enumerate(keys):
         near = np.flatnonzero(about[i] <= limit[i] + slack[i])
-        exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+        exact = distances(x[near], q[i])
         for j, d in zip(near.tolist(), exact.tolist(), strict=True):
             asked.append(key)
             score.append(d)

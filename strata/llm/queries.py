@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import shared_path, table
+from strata.llm.common import drop_at_exit, shared_path, table
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(
         table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1
     )
+    drop_at_exit(spark, path)
     return token_files.read(spark, path)
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import ngram_lm
 
-    return ngram_lm.score(spark, table(spark, sf_dir, "documents"))
+    found = ngram_lm.score(spark, table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("log_prob", "log_prob_per_word")})  # sums of logarithms differ by their order beyond that
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +76,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = suffix_dedup.repeats(spark, table(spark, sf_dir, "documents"))
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "spans", "cuts", words.alias("n_words_repeated"), "first_doc_id")
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return found.select("doc_id", text("spans"), text("cuts"), words.alias("n_words_repeated"), "first_doc_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm import language_id
 
-    found = language_id.identify_documents(spark, table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "lang", "confidence", "accepted", "text_lang")
+    docs, columns = table(spark, sf_dir, "documents"), ("lang", "confidence", "accepted", "text_lang")
+    model = language_id.fit_documents(docs)
+    of_docs = language_id.identify_documents(spark, docs, model=model).select("doc_id", F.lit(None).cast("long").alias("page_id"), *columns)
+    of_pages = language_id.identify_pages(spark, table(spark, sf_dir, "pages"), model)
+    return of_docs.unionByName(of_pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *columns))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,7 +98,6 @@ WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
 
-#: Only this one's rows are exact in SQL at a bearable cost; the others are held against brute force in the tests.
 DECONTAMINATE_SQL = f"""
 with items as (select cast(item_id as varchar) as item_id, {WORDS_SQL} as w from benchmark),
 sized as (select item_id, w, least(len(w), 8) as l from items where len(w) > 0),
@@ -111,5 +116,65 @@ from docs left join words using (doc_id) left join found using (doc_id)
 """
 
 
+#: Exact where one bucket holds all vectors, as in the tests' tables; the query finds 0.97 of these in larger ones.
+NEAREST_SQL = """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
+valid as (
+    select * from v where len(e) = (select len(e) from v group by len(e) order by count(*) desc, len(e) limit 1)
+    and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+),
+pairs as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda s, y: s + y)) as score from valid q join valid c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as r from pairs)
+select query_id, cast(r as int) as rank, vec_id, score from ranked where r <= 10
+"""
+
+#: Each position's longest n-gram that occurs outside its document.
+LM_SQL = f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents),
+p as (
+    select doc_id, w[i] as c, case when i > 1 then w[i - 1] end as b, case when i > 2 then w[i - 2] end as a
+    from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)
+),
+o1 as (select doc_id, c, sum(n) over (partition by c) - n as o from (select doc_id, c, count(*) as n from p group by all)),
+o2 as (select doc_id, b, c, sum(n) over (partition by b, c) - n as o from (select doc_id, b, c, count(*) as n from p where b is not null group by all)),
+o3 as (select doc_id, a, b, c, sum(n) over (partition by a, b, c) - n as o from (select doc_id, a, b, c, count(*) as n from p where a is not null group by all)),
+total as (select sum(len(w)) as n from d),
+terms as (
+    select p.doc_id,
+        case when o3.o > 0 then 3 when o2.o > 0 then 2 else 1 end as level,
+        case when o3.o > 0 then ln(o3.o) - ln(x2.o) when o2.o > 0 then ln(0.4) + ln(o2.o) - ln(x1.o)
+            else 2 * ln(0.4) + ln(greatest(o1.o, 0.5)) - ln(greatest(total.n - len(d.w), 1)) end as term
+    from p join d using (doc_id) cross join total
+    join o1 on o1.doc_id = p.doc_id and o1.c = p.c
+    left join o2 on o2.doc_id = p.doc_id and o2.b = p.b and o2.c = p.c
+    left join o3 on o3.doc_id = p.doc_id and o3.a = p.a and o3.b = p.b and o3.c = p.c
+    left join o1 x1 on x1.doc_id = p.doc_id and x1.c = p.b
+    left join o2 x2 on x2.doc_id = p.doc_id and x2.b = p.a and x2.c = p.b
+),
+sums as (select doc_id, sum(term) as s, count(*) filter (level = 3) as n_full, count(*) filter (level = 1) as n_unigrams from terms group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, round(coalesce(s, 0.0), 6) as log_prob, round(case when len(w) > 0 then s / len(w) else 0.0 end, 6) as log_prob_per_word,
+    coalesce(n_full, 0) as n_full, coalesce(n_unigrams, 0) as n_unigrams
+from d left join sums using (doc_id)
+"""
+
+#: Windows of 50 words that two documents hold, as the spans of words they cover, and those that aren't first occurrences.
+REPEATS_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+p as (select doc_id, i, array_to_string(w[i + 1 : i + 50], ' ') as g from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d where len(w) >= 50)),
+f as (select g, min({'d': doc_id, 'i': i}) as first from p group by g having count(distinct doc_id) > 1),
+m as (select doc_id, i, first from p join f using (g)),
+words as (
+    select distinct 'spans' as what, doc_id, unnest(range(i, i + 50)) as k from m
+    union all select distinct 'cuts', doc_id, unnest(range(i, i + 50)) from m where first <> {'d': doc_id, 'i': i}
+),
+runs as (select what, doc_id, min(k) as s, max(k) + 1 as e from (select *, k - row_number() over (partition by what, doc_id order by k) as run from words) group by what, doc_id, run),
+texts as (select what, doc_id, string_agg(s || '-' || e, ',' order by s) as t, sum(e - s) as n from runs group by what, doc_id)
+select doc_id, a.t as spans, coalesce(b.t, '') as cuts, cast(a.n as bigint) as n_words_repeated, first_doc_id
+from (select * from texts where what = 'spans') a left join (select * from texts where what = 'cuts') b using (doc_id)
+join (select doc_id, min(first.d) as first_doc_id from m group by doc_id) using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": DECONTAMINATE_SQL}
+    """SQL for those whose rows it gives exactly and at a bearable cost; the others are held against brute force in the tests."""
+    return {"op3_hilbert_ann": NEAREST_SQL, "op5_ngram_lm": LM_SQL, "op7_decontaminate": DECONTAMINATE_SQL, "op9_suffix_dedup": REPEATS_SQL}
