@@ -6,6 +6,7 @@ import html
 import random
 import re
 from collections import Counter, defaultdict
+from datetime import date
 from hashlib import sha256
 from math import log
 from zlib import crc32
@@ -90,8 +91,7 @@ def test_token_files_round_trip(spark):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [*ODD, "İstanbul é <|endoftext|> can't\x1cx\x85y", prose(3, 500)]
+    texts = [*ODD, "hello <|endoftext|> <|startoftext|> world", "<|ENDOFTEXT|>a<|endoftext|>B", "<|Endoftext|>", "İstanbul é <|endoftext|> can't\x1cx\x85y", prose(3, 500)]
     docs = frame(spark, [*texts, texts[4]], [*range(len(texts)), 4]).unionByName(frame(spark, ["no id"], [None])).withColumnRenamed("source", "h")
     store = shared_path(spark, "test-tokens")
     token_files.write(docs.repartition(3), store, path, end_id=1)
@@ -108,15 +108,23 @@ def test_token_files_round_trip(spark):
 
 
 def test_words_of_token_files_are_the_whole_texts():
-    loaded = token_files.load(P.path("word_bpe_49k.json"))
-    assert loaded[1] is not None and loaded[1].cuts_words
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    loaded, library = token_files.load(path), Tokenizer.from_file(path)
+    assert loaded.words is not None and loaded.words.cuts_words
     r = random.Random(4)
-    letters = "aAbB'sStT re ll!!?..#=1 23_-é É Ø ß İ ŉ ǅ ñ × ÷ ª ² \u0338 \u0301 \u0308 日 \x1c\x85  <|endoftext|> x"
+    letters = [*"aAbB'sStT re ll!!?..#=1 23_-é É Ø ß İ ŉ ǅ ñ × ÷ ª ² \u0338 \u0301 \u0308 日 \x1c\x85  <|> x", "the ", "Word, "]
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    texts += ["".join(r.choice([*letters, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]) for _ in range(20)) for _ in range(300)]
+    r.shuffle(texts)
     for low in range(0, len(texts), 100):
         part = texts[low : low + 100]
-        for text, raw in zip(part, token_files.encode_texts(loaded, [t.encode() for t in part]), strict=True):
-            assert np.frombuffer(raw, loaded[2]).tolist() == loaded[0].encode(text, add_special_tokens=False).ids, text
+        ids, n = token_files.encode_texts(loaded, [t.encode() for t in part])
+        for text, own in zip(part, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    ids, n = token_files.encode_texts(loaded, [b"", b""])
+    assert len(ids) == 0 and n.tolist() == [0, 0]
 
 
 # SimHash
@@ -263,6 +271,42 @@ def test_suffix_dedup_repeated_rows_and_null_ids(spark):
     assert suffix_dedup.repeats(spark, frame(spark, [p, p], [1, 1])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "date", "int"])
+def test_suffix_dedup_ids_of_any_type(spark, kind):
+    p = prose(9, 60)
+    ids = {"string": ["", "b", None, "a"], "double": [0.5, 2.0, None, 1.0], "date": [date(2020, 1, 1), date(2020, 1, 3), None, date(2020, 1, 2)], "int": [0, 2, None, 1]}[kind]
+    docs = spark.createDataFrame(list(zip(ids, [p, "x " + p, p + " y", prose(3, 60)], strict=True)), f"doc_id {kind}, text string")
+    for hot in (0, 5_000):
+        found = {x.doc_id: x for x in suffix_dedup.repeats(spark, docs, hot=hot, group=2).collect()}
+        assert set(found) == set(ids[:3]) and {x.first_doc_id for x in found.values()} == {None}
+        assert found[None].cuts == [] and all(found[i].cuts == [(k, k + 60)] for k, i in enumerate(ids[:2]))
+        found = {x.doc_id: x.first_doc_id for x in suffix_dedup.repeats(spark, docs.dropna(), hot=hot).collect()}
+        assert found == {ids[0]: ids[0], ids[1]: ids[0]}
+
+
+def test_suffix_dedup_of_passages_between_other_minimisers(spark):
+    r, passages = random.Random(6), [prose(40 + i, 64, 10**6).split() for i in range(40)]
+    texts = [" ".join(w for _ in range(12) for w in [*prose(r.random(), 9, 10**6).split(), *r.choice(passages)[r.randrange(9) :][: r.randrange(48, 60)]]) for _ in range(30)]
+    hit, cut = brute_repeats(list(enumerate(texts)), 50)
+    for hot in (0, 5_000):
+        found = {x.doc_id: x for x in suffix_dedup.repeats(spark, frame(spark, texts), hot=hot).collect()}
+        assert set(found) == set(hit)
+        for i, x in found.items():
+            assert {k for s in x.spans for k in range(s.start, s.end)} == hit[i] and {k for s in x.cuts for k in range(s.start, s.end)} == cut[i]
+
+
+def test_suffix_dedup_splits_a_passage_of_many_documents(spark):
+    r, p = random.Random(4), prose(9, 75).split()
+    texts = [" ".join([*prose(20 + i, r.randrange(3, 30), 10**6).split(), *p[r.randrange(3) :], *prose(900 + i, 20, 10**6).split()]) for i in range(150)]
+    texts += texts[:40]
+    hit, cut = brute_repeats(list(enumerate(texts)), 50)
+    for group in (7, 64, 10_000):
+        found = {x.doc_id: x for x in suffix_dedup.repeats(spark, frame(spark, texts).repartition(3), hot=20, group=group).collect()}
+        assert set(found) == set(hit)
+        for i, x in found.items():
+            assert {k for s in x.spans for k in range(s.start, s.end)} == hit[i] and {k for s in x.cuts for k in range(s.start, s.end)} == cut[i]
+
+
 # decontamination
 
 
@@ -381,6 +425,13 @@ def test_neighbours(spark):
         total += 10
     assert right / total >= 0.9
     assert [v for _, v, _ in found[100]] == list(range(50, 60))
+    wide = found
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(hilbert_ann, "MOST_BUCKETS", 5)  # so that buckets have parts
+        found = defaultdict(list)
+        for y in hilbert_ann.nearest(spark, df, bucket=128).orderBy("query_id", "rank").collect():
+            found[y.query_id].append((y.score, y.vec_id, y["rank"]))
+    assert set(found) == set(wide) and sum(len(set(found[q]) & set(wide[q])) for q in wide) >= 0.9 * total
     few = hilbert_ann.nearest(spark, df.where("vec_id <= 3")).collect()
     assert sorted((r.query_id, r["rank"]) for r in few) == [(0, 1), (0, 2), (0, 3)]
     assert hilbert_ann.nearest(spark, df.where("false")).count() == 0
@@ -399,6 +450,27 @@ def test_html_main_text():
     assert html_text.main_text(page) == "Head & line\nFirst para­graph, with commas, and more words than that, you know.\nSecond one is long, too, and is here.\none\ntwo <b>\nc1\nc2\nQ"
 
 
+def test_html_names_are_hints():
+    real = "<p>A long paragraph of real text, with commas, and more of it, that tells what the page is about, really.</p>"
+    assert html_text.main_text(f"<div id='share-price-analysis'>{real}</div><p>x y z</p>").startswith("A long paragraph")
+    for name in ("sidebar", "comments", "comment-list", "share-buttons", "user-comments", "ad", "cookieNotice", "related-posts"):
+        page = f"<div><p>{'Main text, with commas, that goes on. ' * 4}</p></div><div class='{name}'>{real * 5}</div>"
+        assert "real text" not in html_text.main_text(page), name
+    page = f"<div><p>{'Main text, with commas, that goes on. ' * 9}</p></div><div class='related-rubric'>{real}</div>"
+    assert "real text" not in html_text.main_text(page)  # other words too, but the smaller part of the page
+
+
+def test_html_scoring_without_an_article():
+    """Paragraphs' points choose the container, beside blocks of links and short notes."""
+    r = random.Random(5)
+    for _ in range(40):
+        body = [" ".join(r.choice("alpha beta gamma delta, epsilon zeta, eta theta".split()) for _ in range(r.randrange(20, 60))) + "." for _ in range(r.randrange(3, 8))]
+        links = "".join(f"<li><a href='/{k}'>{prose(k, 6)}</a></li>" for k in range(12))
+        inner = "".join(f"<p>{x}</p>" for x in body)
+        page = f"<html><body><div><ul>{links}</ul></div><div><div>{inner}</div></div><div><p>short note</p></div></body></html>"
+        assert html_text.main_text(page) == "\n".join(" ".join(x.split()) for x in body)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "a < b", "<!-- x", "<script>x", "</p></div>", "<div " * 50, '<a href="x>y', "<p>" * 3000 + "x", "<div>" * 20000 + "deep text, really deep, isn't it, yes" + "</div>" * 20000, "&#x110000; &notanentity; &amp"])
 def test_html_broken_pages(page):
     text = html_text.main_text(page)
@@ -445,6 +517,89 @@ def test_language_evidence(spark):
     assert language_id.keep_identified(spark, docs.where("false")).count() == 0
 
 
+def brute_identify(rows, model):
+    """(key, text, declared, suffix, host) rows by the formulas of the module's docstring, one by one."""
+    size, S, T = len(model.languages), language_id.STRENGTH, language_id.TEMPER
+    soft = lambda x: np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum()
+    read = []
+    for key, text, *evidence in rows:
+        n, ll = model.score((text or "").encode())
+        p = soft(T * ll)
+        best = int(np.argmax(p)) if n else None
+        read.append((key, n, T * ll if n else np.zeros(size), best, n and p.max() >= language_id.CLEAR, evidence))
+    clear = [(best, e) for _, _, _, best, ok, e in read if ok]
+    whole = Counter(i for i, _ in clear)
+    overall = np.array([(whole[i] + 1) / (len(clear) + size) for i in range(size)])
+
+    def counts(of):
+        m = defaultdict(lambda: np.zeros(size))
+        for i, e in clear:
+            if of(e) is not None:
+                m[of(e)][i] += 1
+        return m
+
+    found = {}
+    for key, n, ll, best, _, e in read:
+        logs, unknown = ll.copy(), log(language_id.UNKNOWN) - n * T * log(language_id.FEATURES)
+        for c in (0, 1):
+            m = counts(lambda x: x[c])  # noqa: B023
+            if e[c] in m:
+                seen = sum(m.values())
+                logs += np.log((m[e[c]] + S * m[e[c]].sum() / seen.sum()) / (seen + S))
+                unknown += log(m[e[c]].sum() / seen.sum())
+        prior = overall
+        if e[2] is not None:
+            for width in (*language_id.DOMAINS, None):
+                up = lambda h: None if h is None or width is not None and h.count(".") < width else ".".join(h.split(".")[-width:]) if width else h  # noqa: B023, E731
+                if up(e[2]) is not None:
+                    m = counts(lambda x: up(x[2]))[up(e[2])]  # noqa: B023
+                    prior = (m + S * prior) / (m.sum() + S)
+        post = soft([*(logs + np.log(prior)), unknown])
+        confidence = post[:size].max()
+        accepted = bool(confidence >= language_id.CONFIDENCE and n)
+        found[key] = (model.languages[int(np.argmax(post[:size]))] if accepted else None, confidence, accepted, None if best is None else model.languages[best])
+    return found
+
+
+def test_posteriors_are_the_formulas(spark, data):
+    r = random.Random(12)
+    docs = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
+    model = language_id.fit(spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 3 = 0"), "lang")
+    rows = []
+    for x in docs:
+        text = " ".join((x.text or "").split()[: r.choice([1, 2, 5, 40])])
+        host = r.choice([None, "a.b.example.org", f"{x.lang}.b.example.org", f"www.{x.lang}.b.example.org", f"m.blog.{x.lang}.example.net", x.lang, "y.z"])
+        rows.append((x.doc_id, text, r.choice([None, x.lang, x.lang, "en", "tlh"]), host and host.rsplit(".", 1)[-1], host))
+    rows += [(-1, "xq zzv", "fr", "net", "new.fr.example.net"), (-2, None, "fr", None, None), (-3, "", None, None, "a.b.c.d.e.f.g"), (-4, "123", "de", "org", "a.b.example.org")]
+    df = spark.createDataFrame(rows, "key long, text string, declared string, suffix string, host string")
+    wanted = brute_identify(rows, model)
+    got = {x.key: x for x in language_id.identify(spark, df, model, ["key"], declared=df.declared, suffix=df.suffix, host=df.host).collect()}
+    assert set(got) == set(wanted)
+    for key, (lang, confidence, accepted, text_lang) in wanted.items():
+        x = got[key]
+        assert (x.lang, x.accepted, x.text_lang) == (lang, accepted, text_lang) and abs(x.confidence - confidence) < 1e-9
+    plain = {x.key: x for x in language_id.identify(spark, df, model, ["key"]).collect()}
+    assert any(plain[k].lang != got[k].lang and got[k].accepted for k in got)  # the evidence changes results
+    twice = language_id.identify(spark, df.unionByName(df), model, ["key"]).groupBy("key").count().where("count <> 2")
+    assert twice.count() == 0
+
+
+def test_pages_and_labels_as_evidence(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language_id.fit_documents(docs)
+    page = lambda lang, text: f"<!DOCTYPE html><HTML class=x LANG='{lang}-XX'><body><article><p>{text}</p></article></body></html>"
+    texts = {x.lang: " ".join(x.text.split()[:60]) for x in docs.where("n_chars > 500").collect()}
+    rows = [(i, f"https://u@www.{k}.example.org:80/p?x", page(k, t)) for i, (k, t) in enumerate(sorted(texts.items()) * 8)]
+    rows += [(100, "http://www.fr.example.org/", page("fr", "Zq xvz")), (101, None, None), (102, "no address", "<p>"), (103, "http://new.www.fr.example.org/", page("fr", "Zq xvz"))]
+    found = {x.page_id: x for x in language_id.identify_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert len(found) == len(rows) and all(found[i].lang == k for i, k in enumerate(sorted(texts) * 8))
+    assert found[103].lang == "fr" and not found[101].accepted and not found[102].accepted
+    assert language_id.identify_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string").where("false"), model).count() == 0
+    bare = language_id.fit(docs, "lang", per_language=3)
+    assert 0 < docs.where(bare.fitted_on(docs.lang, docs.doc_id)).count() < docs.count() / 4
+    assert docs.where(~model.fitted_on(docs.lang, docs.doc_id)).count() == docs.where("trim(lang) = '' or lang is null").count()
+
+
 def test_every_language_is_fitted(spark):
     r = random.Random(10)
     names = [f"x{i}" for i in range(90)] + ["en"]
@@ -521,6 +676,43 @@ def test_toxicity_scores(spark):
     assert toxicity.toxicity(spark, docs.where("false"), given).count() == 0
 
 
+def test_restore_is_the_best_path_of_the_lattice(spark):
+    """Against the best of all readings of short tokens."""
+    from itertools import product
+
+    model = toxicity.CharacterModel(toxicity.character_counts(frame(spark, [prose(i, 50) + " the idiot said that this is a stupid house and it was" for i in range(5)])))
+
+    def cost(parts):
+        x = y = 0
+        total = 0.0
+        for text, c in parts:
+            total += c
+            for ch in text:
+                z = toxicity.symbol(ch)
+                if z == 0 and y == 0:
+                    continue
+                total += model.logs[x][y][z]
+                x, y = y, z
+        return total
+
+    r = random.Random(13)
+    for _ in range(400):
+        token = "".join(r.choice("abdeiosthu01345$@!.-_ *") * r.choice([1, 1, 1, 3]) for _ in range(r.randrange(1, 6)))
+        for breaks in (True, False):
+            lattice = [*toxicity.lattice(token, breaks), [(" ", 0.0)]]
+            best = max(cost(p) for p in product(*lattice))
+            own = toxicity.restore(token, model, breaks)
+            readings = [p for p in product(*lattice) if "".join(t for t, _ in p).strip() == own]
+            assert readings and max(map(cost, readings)) > best - 1e-9, token
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = frame(spark, [f"word{i % 7} text" for i in range(300)] * 2, [*range(300)] * 2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    found = toxicity.toxicity(spark, docs, labels, max_rows=40)
+    assert found.count() == 600 and found.select("doc_id", "score").distinct().count() == 300
+
+
 def test_toxicity_of_every_disguise(spark):
     r = random.Random(6)
     plain = "the of and to in is that it was for on are with as his they be at one have this from word what some we can out other were all there when up use your how said each she which their time will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than call first who may down side been now find head".split()
