@@ -215,10 +215,7 @@ def _search_sorted(batches, size: int, k: int):
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, squares added dimension by dimension: the same wherever they are taken."""
-    total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        total += (x[:, j] - q[j]) ** 2
-    return np.sqrt(total)
+    return np.sqrt(np.add.accumulate((x - q) ** 2, axis=1)[:, -1])
 
 
 def _nearest(keys: list, q: np.ndarray, x: np.ndarray, squares: np.ndarray, ids: list, k: int) -> pa.RecordBatch:
