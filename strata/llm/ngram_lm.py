@@ -1,9 +1,10 @@
 """Stupid-backoff scores by joins of n-gram counts.
 
 Texts are packed into blocks of some ``BLOCK`` words. A block's n-grams of each order are exploded, hashed
-to 64 bits and made distinct with their counts; these are dealt to buckets by their hashes' leading bits. Each
-bucket sums its n-grams over all blocks (the count table's partition) and joins the totals back to the blocks'
-rows; the blocks' answers meet their words again by block, and every document's terms are summed.
+to 64 bits and made distinct with their counts; these are dealt to buckets by their hashes' leading bits. The count
+tables, partitioned in the same way, have the totals of each bucket's n-grams that occur in several blocks (the counts of
+others are those of their block), and are joined to the exploded n-grams bucket by bucket; both sides come from one
+exchange, which Spark reuses. The blocks' answers meet their words again by block, and every document's terms are summed.
 
 A word is scored by the longest n-gram that ends with it and occurs outside its own document:
 ``count(n-gram) / count(context)``, times ``ALPHA`` for each order given up. Counts leave out the document's
@@ -36,7 +37,7 @@ from strata.llm.hashing import run_hashes, word_hashes
 
 ORDER, ALPHA = 3, 0.4
 #: Words in a block, and n-grams in a bucket, about.
-BLOCK, BUCKET = 2_000_000, 4_000_000
+BLOCK, BUCKET = 2_000_000, 2_000_000
 ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("k", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 ROW_SQL = "bucket int, block long, k int, ids array<long>, a binary, b binary, c binary"
 CODEC = pa.Codec("zstd", compression_level=1)
@@ -126,23 +127,40 @@ def _explode(docs: DataFrame, buckets: int, order: int, block_words: int, words:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW_SQL)
 
 
+TABLE = pa.schema([("bucket", pa.int32()), ("k", pa.int32()), ("hashes", pa.binary()), ("totals", pa.binary())])
+TABLE_SQL = "bucket int, k int, hashes binary, totals binary"
+
+
 def _count(t: pa.Table) -> pa.Table:
-    """A bucket: each n-gram's total, sent back to the blocks that asked."""
+    """A bucket's part of the count tables: of each order the n-grams of several blocks, sorted, and their totals."""
     rows, out = t.to_pylist(), []
     for k in sorted({r["k"] for r in rows}):
         own = [r for r in rows if r["k"] == k]
-        asked = [unpack_sorted(r["a"]) for r in own]
-        sizes = np.cumsum([len(x) for x in asked])[:-1]
-        _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        n = np.concatenate([unplanes(r["b"], "<u4") for r in own])
-        total = np.bincount(inverse, n).astype("<u8")
-        for r, answer in zip(own, np.split(total[inverse], sizes), strict=True):
-            out.append((r["bucket"], r["block"], k, None, planes(answer), None, None))
+        distinct, inverse, blocks = np.unique(np.concatenate([unpack_sorted(r["a"]) for r in own]), return_inverse=True, return_counts=True)
+        total = np.bincount(inverse, np.concatenate([unplanes(r["b"], "<u4") for r in own])).astype("<u8")
+        out.append((own[0]["bucket"], k, pack_sorted(distinct[blocks > 1]), planes(total[blocks > 1])))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), TABLE, strict=True)], schema=TABLE)
+
+
+def _join(asked: pa.Table, tables: pa.Table) -> pa.Table:
+    """A bucket: the blocks' n-grams get how often they occur outside their block, from its count tables."""
+    known = {r["k"]: (unpack_sorted(r["hashes"]), unplanes(r["totals"], "<u8")) for r in tables.to_pylist()}
+    out = []
+    for batch in asked.to_batches(max_chunksize=64):
+        for r in batch.to_pylist():
+            hashes, totals = known[r["k"]]
+            own, n = unpack_sorted(r["a"]), unplanes(r["b"], "<u4")
+            at = np.searchsorted(hashes, own)
+            at[at == len(hashes)] = 0
+            found = np.flatnonzero(hashes[at] == own) if len(hashes) else []
+            outside = np.zeros(len(own), "<u8")
+            outside[found] = totals[at[found]] - n[found]
+            out.append((r["bucket"], r["block"], r["k"], None, planes(outside), None, None))
     return pa.Table.from_batches([_batch(out)]) if out else ROW.empty_table()
 
 
 def _score(t: pa.Table, order: int, alpha: float) -> pa.Table:
-    """A block (or several of equal content): its words again, and every n-gram's total; each document's sums."""
+    """A block (or several of equal content): its words again, and every n-gram's count outside it; each document's sums."""
     rows = t.to_pylist()
     answers: dict[int, dict[int, bytes]] = {k: {} for k in range(1, order + 1)}
     for r in rows:
@@ -162,10 +180,10 @@ def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: fl
     terms = []
     for k in range(1, order + 1):
         hashes, at = grams(h, lengths, k)
-        total = totals[k]
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        if len(total) != len(distinct):
+        distinct, inverse, here = np.unique(hashes, return_inverse=True, return_counts=True)
+        if len(totals[k]) != len(distinct):
             raise RuntimeError("the documents were read differently the second time; score() needs a deterministic read")
+        total = totals[k] + here.astype("<u8")
         pair = doc[at] * max(1, len(distinct)) + inverse
         _, back, mine = np.unique(pair, return_inverse=True, return_counts=True)
         outside = np.zeros(n)
@@ -189,12 +207,19 @@ def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: fl
     )
 
 
+def count_tables(exploded: DataFrame) -> DataFrame:
+    """The n-gram count tables, partitioned by hash: a row for each bucket and order."""
+    return exploded.groupBy("bucket").applyInArrow(_count, TABLE_SQL)
+
+
 def score(spark: SparkSession, docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_words: int = BLOCK, bucket_grams: int = BUCKET) -> DataFrame:
     """A row for each row of ``docs(doc_id, text)``: doc_id, n_words, log_prob, log_prob_per_word,
     and how many words were scored by a full n-gram (n_full) and by their own frequency alone (n_unigrams)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // 6 * order // bucket_grams + 1)
-    answered = _explode(docs, buckets, order, block_words, False).groupBy("bucket").applyInArrow(_count, ROW_SQL)
+    exploded = _explode(docs, buckets, order, block_words, False)
+    tables = count_tables(exploded)
+    answered = exploded.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_join, ROW_SQL)  # both by one exchange
     rows = _explode(docs, buckets, order, block_words, True).unionByName(answered)
     summed = rows.groupBy("block").applyInArrow(
         lambda t: _score(t, order, alpha), "doc_id long, n_words long, log_terms double, n_unigrams long, n_full long"
