@@ -44,15 +44,26 @@ CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The array's bytes plane by plane, compressed: leading bytes are mostly alike, and entropy coding halves small counts."""
-    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return len(x).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+    """The array's bytes plane by plane, each compressed by its own statistics, or as it is where that is shorter:
+    leading bytes are mostly alike, trailing ones of hashes are random."""
+    parts = [len(x).to_bytes(8, "little")]
+    for plane in np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T):
+        raw = plane.tobytes()
+        packed = CODEC.compress(raw, asbytes=True)
+        packed = packed if len(packed) < len(raw) else raw
+        parts += [len(packed).to_bytes(4, "little"), packed]
+    return b"".join(parts)
 
 
 def unplanes(packed: bytes, dtype: str) -> np.ndarray:
-    size, n = np.dtype(dtype).itemsize, int.from_bytes(packed[:8], "little")
-    raw = CODEC.decompress(packed[8:], n * size, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel() if n else np.zeros(0, dtype)
+    kind, n, at = np.dtype(dtype), int.from_bytes(packed[:8], "little"), 8
+    out = np.empty((n, kind.itemsize), np.uint8)
+    for i in range(kind.itemsize):
+        size = int.from_bytes(packed[at : at + 4], "little")
+        own = packed[at + 4 : at + 4 + size]
+        out[:, i] = np.frombuffer(own if size == n else CODEC.decompress(own, n, asbytes=True), np.uint8)
+        at += 4 + size
+    return out.view(kind).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -95,8 +106,11 @@ class Block:
         h, lengths = np.concatenate([*self.parts, np.zeros(0, np.uint64)]), np.array(self.lengths, np.int64)
         number = self.name(h)
         if words:
-            vocabulary, inverse = np.unique(h, return_inverse=True)
-            yield 0, number, 0, self.ids, planes(lengths.astype("<u8")), pack_sorted(vocabulary), planes(inverse.astype("<u4"))
+            vocabulary, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack best
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            yield 0, number, 0, self.ids, planes(lengths.astype("<u8")), planes(vocabulary[order]), planes(rank[inverse])
             return
         for k in range(1, order + 1):
             distinct, n = np.unique(grams(h, lengths, k)[0], return_counts=True)
@@ -172,7 +186,7 @@ def _score(t: pa.Table, order: int, alpha: float) -> pa.Table:
 
 def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: float) -> pa.Table:
     lengths = unplanes(own["a"], "<u8").astype(np.int64)
-    h = unpack_sorted(own["b"])[unplanes(own["c"], "<u4")]
+    h = unplanes(own["b"], "<u8")[unplanes(own["c"], "<u4")]
     doc = np.repeat(np.arange(len(lengths)), lengths)
     n = len(h)
     log, level = np.zeros(n), np.zeros(n, np.int8)
