@@ -181,7 +181,7 @@ def _score(t: pa.Table, order: int, alpha: float) -> pa.Table:
         if r["k"]:
             answers[r["k"]][r["bucket"]] = r["a"]
     totals = {k: np.concatenate([*(unplanes(a[b], "<u8") for b in sorted(a)), np.zeros(0, "<u8")]) for k, a in answers.items()}
-    return pa.concat_tables([_score_block(r, totals, order, alpha) for r in rows if r["k"] == 0])
+    return pa.concat_tables([_score_block(r, dict(totals), order, alpha) for r in rows if r["k"] == 0])
 
 
 def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: float) -> pa.Table:
@@ -191,18 +191,18 @@ def _score_block(own: dict, totals: dict[int, np.ndarray], order: int, alpha: fl
     n = len(h)
     log, level = np.zeros(n), np.zeros(n, np.int8)
     below = np.zeros(n)  # outside counts of the order below, by the position of its last word
-    terms = []
     for k in range(1, order + 1):
         hashes, at = grams(h, lengths, k)
         distinct, inverse, here = np.unique(hashes, return_inverse=True, return_counts=True)
         if len(totals[k]) != len(distinct):
             raise RuntimeError("the documents were read differently the second time; score() needs a deterministic read")
-        total = totals[k] + here.astype("<u8")
+        outside = np.zeros(n)
+        outside[at] = (totals.pop(k) + here.astype("<u8"))[inverse]
         pair = doc[at] * max(1, len(distinct)) + inverse
+        del hashes, distinct, inverse, here  # a block's arrays are a worker's largest
         _, back, mine = np.unique(pair, return_inverse=True, return_counts=True)
-        outside = np.zeros(n)
-        outside[at] = total[inverse].astype(np.float64) - mine[back]
-        terms.append(outside)
+        outside[at] -= mine[back]
+        del pair, back, mine
         if k == 1:
             log = np.log(np.maximum(outside, 0.5))
             level[:] = 1
