@@ -13,6 +13,7 @@ import tempfile
 import uuid
 import warnings
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -243,9 +244,15 @@ def written_at(spark, sf_dir):
 
 @query("select value from events")
 def read_segment_column(spark, sf_dir):
+    """Of every segment: a large append fills several."""
     e = flat_table(spark, events(spark, sf_dir).select("event_id", "value"), {"event_id": "int64", "value": "float64"})
-    segment = e.list_segments("t")[0]
-    return e.read_segment_column("t", {}, segment["segmentId"], "value", "read").select("value")
+    return segment_columns(e, "t", "value")
+
+
+def segment_columns(e: Engine, table: str, column: str) -> DataFrame:
+    """A column of all segments, each read by a correlation of its own."""
+    parts = [e.read_segment_column(table, s["partition"], s["segmentId"], column, f"read-{s['segmentId']}") for s in e.list_segments(table)]
+    return reduce(DataFrame.unionByName, parts).select(column)
 
 
 # deletes, compaction, snapshots
