@@ -3,6 +3,9 @@
 Rows are validated as they are written; a bad row fails the job, and nothing is committed. Row ids cost no
 shuffle and no numbering pass: a file's rows are numbered by their place in it, after a base that the commit
 gives the file (a prefix sum over the segment's files) and that stands in its path.
+
+A file a partition is too much work where partitions are many and small. There an append is packed: a task writes one
+file, in order of the partitions, and the log has each segment's share of it.
 """
 
 from __future__ import annotations
@@ -15,16 +18,19 @@ from urllib.parse import unquote
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.errors import CommitConflict, InvalidRequest, TooManyRequests
+from strata.errors import CommitConflict, Internal, InvalidRequest, TooManyRequests
 from strata.functions.sharding import Shard, choose
 from strata.functions.types import MAX_FIELD_BYTES, ROW_BYTES, holds_null, same_type, value_bytes
 from strata.operators.catalog import Catalog
 from strata.plans.log import Segment, State
-from strata.plans.partitions import encoded, from_path_text, path_text
-from strata.plans.schema import WRITTEN_AT, TableSchema
+from strata.plans.partitions import encoded, from_path_text, normal_path_value, path_text
+from strata.plans.schema import WRITTEN_AT, TableSchema, packed_path
 
 RETRIES = 20
+#: An append to more partitions than this, with fewer rows each on average, shares files between them.
+PACKED_PARTITIONS, PACKED_ROWS = 500, 10_000
 
 
 def partition_path(schema: TableSchema, partition: dict) -> str:
@@ -78,10 +84,15 @@ class Part:
     """What an append adds to a segment."""
 
     def __init__(self, segment_id: str):
-        self.segment_id, self.files, self.sources, self.rows, self.size = segment_id, {}, {}, 0, 0
-
-    def add(self, key: str, path: str, base: int, n: int, size: int) -> None:
-        target = "/".join(x for x in (key, f"_segment_id={self.segment_id}", f"_base={base}", path.rsplit("/", 1)[1]) if x)
+        self.segment_id, self.files, self.sources, self.packed, self.rows, self.size = segment_id, {}, {}, {}, 0, 0
+
+    def add(self, key: str, path: str, base: int, n: int, size: int, shared: tuple[int, int] | None) -> None:
+        if shared:
+            start, total = shared
+            target = packed_path(path.rsplit("/", 1)[1], total)
+            self.packed[target] = [base, start]
+        else:
+            target = "/".join(x for x in (key, f"_segment_id={self.segment_id}", f"_base={base}", path.rsplit("/", 1)[1]) if x)
         self.files[target], self.sources[path] = n, target
         self.rows, self.size = self.rows + n, self.size + size
 
@@ -107,19 +118,48 @@ class Writer:
         at = dt.datetime.now(dt.UTC)
         rows = prepared(state.schema, df, None if own_times else at)
         paths = [state.schema.path_column(n) for n in state.schema.partitioning]
-        if paths and layout == "rebalance":
-            rows = rows.hint("rebalance", *[F.col(p) for p in paths])
         staging = f"_tmp/{uuid.uuid4().hex}"
         try:
-            (rows.write.partitionBy(*paths) if paths else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
-            files = self._written(state.schema, staging, rows)
+            packed = bool(paths) and layout == "rebalance" and self._small(rows, paths)
+            if paths and layout == "rebalance":
+                rows = rows.hint("rebalance", *[F.col(p) for p in paths])
+            if packed:
+                rows = rows.sortWithinPartitions(*paths)
+            (rows.write.partitionBy(*paths) if paths and not packed else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
+            files = self._packed(state.schema, staging) if packed else self._written(state.schema, staging, rows)
             return self._commit(table, files, at, stream, batch, {"journal": journal, "done": done})
         except PySparkException as e:
             raise job_error(e) from e
         finally:
             self.store.delete(staging)
 
-    def _written(self, schema: TableSchema, staging: str, rows: DataFrame) -> list[tuple[dict, str, int, int]]:
+    def _small(self, rows: DataFrame, paths: list[str]) -> bool:
+        """Whether partitions are many and small; reads the partition columns only."""
+        n, partitions = rows.agg(F.count("*"), F.approx_count_distinct(F.struct(*paths))).first()
+        return partitions > PACKED_PARTITIONS and n < PACKED_ROWS * partitions
+
+    def _packed(self, schema: TableSchema, staging: str) -> list[tuple[dict, str, int, int, tuple[int, int]]]:
+        """Of each partition in each file what ``_written`` has, and its first row's place and the file's rows; a row each comes to the driver."""
+        names = {p.rsplit("/", 1)[1]: p for p, _ in self.store.walk(staging) if p.endswith(".parquet")}
+        if not names:
+            return []
+        kind = T.StructType([T.StructField("_bytes", T.LongType()), *schema.path_fields()])
+        paths = [schema.path_column(n) for n in schema.partitioning]
+        row = F.col("_metadata.row_index")
+        read = self.spark.read.schema(kind).parquet(self.store.uri(staging))
+        found = read.groupBy(F.col("_metadata.file_name").alias("name"), *paths).agg(F.count("*").alias("n"), F.sum("_bytes").alias("size"), F.min(row).alias("start"), F.max(row).alias("end")).collect()
+        total: dict[str, int] = {}
+        for r in found:
+            if r.end - r.start + 1 != r.n:
+                raise Internal(f"{r.name}: the rows of a partition aren't together")
+            total[r.name] = total.get(r.name, 0) + r.n
+        out = []
+        for r in sorted(found, key=lambda r: (r.name, r.start)):
+            partition = {n: normal_path_value(d, r[schema.path_column(n)]) for n, d in schema.partitioning.items()}
+            out.append((partition, names[r.name], r.n, r.size, (r.start, total[r.name])))
+        return out
+
+    def _written(self, schema: TableSchema, staging: str, rows: DataFrame) -> list[tuple[dict, str, int, int, None]]:
         """Of each file its partition, path, rows and accounted bytes; a row a file comes to the driver."""
         if not any(p.endswith(".parquet") for p, _ in self.store.walk(staging)):
             return []
@@ -130,11 +170,11 @@ class Writer:
             path = unquote(r.path[r.path.index(staging) :])
             parts = dict(p.split("=", 1) for p in path.split("/")[2:-1])
             partition = {n: from_path_text(d, parts[schema.path_column(n)]) for n, d in schema.partitioning.items()}
-            out.append((partition, path, r.n, r.size))
+            out.append((partition, path, r.n, r.size, None))
         return out
 
     def _commit(self, table: str, files: list, at: dt.datetime, stream: str | None, batch: int | None, staged: dict) -> dict:
-        placed = {path: path for _, path, _, _ in files}
+        placed = {path: path for _, path, *_ in files}
         for _ in range(RETRIES):
             state = self.catalog.state(table)
             if stream is not None and state.batches.get(stream, -1) >= batch or staged["journal"] in state.batches:
@@ -149,7 +189,7 @@ class Writer:
                         placed[source] = to
             try:
                 self.catalog.log(table).commit(state, commit)
-                return {"rows": sum(n for _, _, n, _ in files), "segments": [s["segment_id"] for s in commit["segments"]]}
+                return {"rows": sum(n for _, _, n, *_ in files), "segments": [s["segment_id"] for s in commit["segments"]]}
             except CommitConflict:
                 continue
         raise CommitConflict(f"table {table}")
@@ -162,10 +202,10 @@ class Writer:
         """
         by_partition: dict[str, list] = {}
         values: dict[str, dict] = {}
-        for partition, path, n, size in files:
+        for partition, path, n, size, shared in files:
             key = partition_path(state.schema, partition)
             values[key] = partition
-            by_partition.setdefault(key, []).append((path, n, size))
+            by_partition.setdefault(key, []).append((path, n, size, shared))
         segments, active = [], {}
         for key, own in by_partition.items():
             shard = choose(key, self.shards_log) if self.shards_log else Shard()
@@ -175,13 +215,13 @@ class Writer:
                 segment = Segment(values[key], shard.new_segment_id())
                 active[slot] = segment.segment_id
             base, parts = segment.all_time_n, [Part(segment.segment_id)]
-            for path, n, size in own:
+            for path, n, size, shared in own:
                 if parts[-1].rows >= self.target_rows or parts[-1].size >= self.target_bytes:
                     base, parts = 0, [*parts, Part(shard.new_segment_id())]
                     active[slot] = parts[-1].segment_id
-                parts[-1].add(key, path, base, n, size)
+                parts[-1].add(key, path, base, n, size, shared)
                 base += n
-            segments += [{"partition": values[key], "segment_id": p.segment_id, "files": p.files, "sources": p.sources, "bytes": p.size} for p in parts]
+            segments += [{"partition": values[key], "segment_id": p.segment_id, "files": p.files, "sources": p.sources, "bytes": p.size} | ({"packed": p.packed} if p.packed else {}) for p in parts]
         return {"kind": "append", "at": at.timestamp(), "segments": segments, "active": active, "partitions": values}
 
     def cold(self, segment: Segment) -> bool:

@@ -102,6 +102,16 @@ def from_path_text(dtype: str, text: str):
     return text == "true" if dtype == "bool" else int(text)
 
 
+def normal_path_value(dtype: str, value):
+    """From a path column's value, read from a file."""
+    return value[2:] if dtype == "string" else value
+
+
+def path_value(dtype: str, value):
+    """Of a path column in a file."""
+    return f"s~{value}" if dtype == "string" else value
+
+
 @dataclass(frozen=True)
 class PartitionFilter:
     """``name comparison value``; a filter without a value type (value_type None) passes everything."""

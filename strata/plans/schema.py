@@ -15,6 +15,15 @@ ROW_ID, WRITTEN_AT = "_row_id", "_written_at"
 NAME = re.compile(r"[A-Za-z0-9_]+")
 
 
+def packed_path(name: str, rows: int) -> str:
+    """Below data/, of a file that several segments share; it has the path columns among its own."""
+    return f"packed/{rows}-{name}"
+
+
+def packed_rows(path: str) -> int:
+    return int(path.removeprefix("packed/").split("-", 1)[0])
+
+
 def check_name(what: str, name: str, creating: bool = True) -> None:
     if not isinstance(name, str) or not NAME.fullmatch(name) or len(name.encode()) > MAX_NAME_BYTES:
         raise InvalidRequest(f"{what} name {name!r} must be 1 to {MAX_NAME_BYTES} letters, digits or underscores")
@@ -83,12 +92,14 @@ class TableSchema:
     def path_column(self, name: str) -> str:
         return f"_p_{name}"
 
+    def path_fields(self) -> list[T.StructField]:
+        return [T.StructField(self.path_column(n), PATH_TYPES[d]) for n, d in self.partitioning.items()]
+
     def stored(self) -> T.StructType:
         """What data files may hold, with the columns that their paths give. Older files lack later columns."""
         own = [T.StructField(n, f.spark) for n, f in self.columns.items()]
         own += [T.StructField(ROW_ID, T.LongType()), T.StructField(WRITTEN_AT, T.TimestampType()), T.StructField("_bytes", T.LongType())]
-        paths = [T.StructField(self.path_column(n), PATH_TYPES[d]) for n, d in self.partitioning.items()]
-        return T.StructType(own + paths + [T.StructField("_segment_id", T.StringType()), T.StructField("_base", T.LongType())])
+        return T.StructType(own + self.path_fields() + [T.StructField("_segment_id", T.StringType()), T.StructField("_base", T.LongType())])
 
     def visible(self) -> T.StructType:
         own = [T.StructField(n, f.spark) for n, f in self.columns.items()]

@@ -41,14 +41,23 @@ def register(spark: SparkSession) -> None:
 
 
 @dataclass
-class FilePart(ds.InputPartition):
-    path: str
+class Share:
+    """A segment's rows in a file: their first place in it, its id, and how many."""
+
+    start: int
+    base: int
     rows: int
     values: dict
     segment_id: str
     deletes: list[str]
 
 
+@dataclass
+class FilePart(ds.InputPartition):
+    path: str
+    shares: list[Share]
+
+
 class TableSource(ds.DataSource):
     @classmethod
     def name(cls) -> str:
@@ -91,40 +100,57 @@ class TableReader(ds.DataSourceReader):
 
     def partitions(self) -> list[FilePart]:
         ready, kinds = check_filters(self.state.schema, self.filters), self.state.schema.partitioning
-        return [
-            FilePart(path, n, {c: public_value(d, s.partition[c]) for c, d in kinds.items()}, s.segment_id, list(s.deletes))
-            for s in self.state.segments.values()
-            if passes(s.partition, ready)
-            for path, n in s.files.items()
-        ]
-
-    def _gone(self, part: FilePart) -> np.ndarray:
+        parts: dict[str, FilePart] = {}
+        for s in self.state.segments.values():
+            if passes(s.partition, ready):
+                values = {c: public_value(d, s.partition[c]) for c, d in kinds.items()}
+                for path, n in s.files.items():
+                    base, start = s.packed[path] if path in s.packed else (int(re.search(r"_base=(\d+)/", path)[1]), 0)
+                    parts.setdefault(path, FilePart(path, [])).shares.append(Share(start, base, n, values, s.segment_id, list(s.deletes)))
+        for part in parts.values():
+            part.shares.sort(key=lambda x: x.start)
+        return list(parts.values())
+
+    def _gone(self, share: Share) -> np.ndarray:
         found = [np.zeros(0, np.int64)]
-        for path in part.deletes:
-            found.append(pq.read_table(f"{self.root}/{self.table}/deletes/{path}", columns=["_row_id"], filters=[("_segment_id", "=", part.segment_id)])["_row_id"].to_numpy())
+        for path in share.deletes:
+            found.append(pq.read_table(f"{self.root}/{self.table}/deletes/{path}", columns=["_row_id"], filters=[("_segment_id", "=", share.segment_id)])["_row_id"].to_numpy())
         return np.concatenate(found)
 
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
         wanted = to_arrow_schema(self.schema)
-        gone, base = self._gone(part), int(re.search(r"_base=(\d+)/", part.path)[1])
         with pq.ParquetFile(f"{self.root}/{self.table}/data/{part.path}", coerce_int96_timestamp_unit="us") as file:
-            there = set(file.schema_arrow.names)
-            for batch in file.iter_batches(columns=[n for n in [*wanted.names, ROW_ID] if n in there]):
-                n, columns = batch.num_rows, []
-                for f in wanted:
-                    if f.name in part.values:
-                        columns.append(pa.array([part.values[f.name]] * n, f.type))
-                    elif f.name not in there:
-                        columns.append(pa.nulls(n, f.type))
-                    else:
-                        column = batch.column(f.name)
-                        column = column.cast(pa.timestamp("us")).cast(f.type) if pa.types.is_timestamp(column.type) and column.type.tz is None else column
-                        columns.append(column.cast(f.type))
-                out = pa.RecordBatch.from_arrays(columns, schema=wanted)
-                if len(gone):
-                    ids = np.arange(base, base + n)
-                    if ROW_ID in there and batch.column(ROW_ID).null_count < n:
-                        ids = batch.column(ROW_ID).to_numpy(zero_copy_only=False)
-                    out = out.filter(pa.array(~np.isin(ids, gone)))
-                base += n
-                yield out
+            there, at, shares = set(file.schema_arrow.names), 0, iter(part.shares)
+            share = next(shares)
+            gone = self._gone(share)
+            names = [n for n in [*wanted.names, ROW_ID] if n in there]
+            for batch in file.iter_batches(columns=names):
+                end = at + batch.num_rows
+                while share is not None and share.start < end:
+                    low, high = max(at, share.start), min(end, share.start + share.rows)
+                    if low < high:
+                        yield self._rows(batch.slice(low - at, high - low), wanted, share, gone, share.base + low - share.start)
+                    if share.start + share.rows > end:
+                        break
+                    share = next(shares, None)
+                    gone = self._gone(share) if share else gone
+                at = end
+
+    def _rows(self, batch: pa.RecordBatch, wanted: pa.Schema, share: Share, gone: np.ndarray, base: int) -> pa.RecordBatch:
+        n, columns, there = batch.num_rows, [], set(batch.schema.names)
+        for f in wanted:
+            if f.name in share.values:
+                columns.append(pa.array([share.values[f.name]] * n, f.type))
+            elif f.name not in there:
+                columns.append(pa.nulls(n, f.type))
+            else:
+                column = batch.column(f.name)
+                column = column.cast(pa.timestamp("us")).cast(f.type) if pa.types.is_timestamp(column.type) and column.type.tz is None else column
+                columns.append(column.cast(f.type))
+        out = pa.RecordBatch.from_arrays(columns, schema=wanted)
+        if len(gone):
+            ids = np.arange(base, base + n)
+            if ROW_ID in there and batch.column(ROW_ID).null_count < n:
+                ids = batch.column(ROW_ID).to_numpy(zero_copy_only=False)
+            out = out.filter(pa.array(~np.isin(ids, gone)))
+        return out
