@@ -12,7 +12,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
@@ -31,6 +34,30 @@ from strata.plans.schema import WRITTEN_AT, TableSchema, packed_path
 RETRIES = 20
 #: An append to more partitions than this, with fewer rows each on average, shares files between them.
 PACKED_PARTITIONS, PACKED_ROWS = 500, 10_000
+#: Files of partitions that a write task has open at once, before it sorts the other partitions' rows.
+OPEN_FILES = 4
+
+
+_opening: dict = {"lock": threading.Lock(), "writes": 0, "before": None}
+
+
+@contextmanager
+def open_files(spark: SparkSession) -> Iterator[None]:
+    """Within, a task writes its first partitions as their rows come. It would sort all its rows by partition otherwise, and
+    a hot partition's rows from one input split can't be dealt to several tasks."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    with _opening["lock"]:
+        if not _opening["writes"]:
+            _opening["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, str(OPEN_FILES))
+        _opening["writes"] += 1
+    try:
+        yield
+    finally:
+        with _opening["lock"]:
+            _opening["writes"] -= 1
+            if not _opening["writes"]:
+                spark.conf.unset(key) if _opening["before"] is None else spark.conf.set(key, _opening["before"])
 
 
 def partition_path(schema: TableSchema, partition: dict) -> str:
@@ -125,7 +152,8 @@ class Writer:
                 rows = rows.hint("rebalance", *[F.col(p) for p in paths])
             if packed:
                 rows = rows.sortWithinPartitions(*paths)
-            (rows.write.partitionBy(*paths) if paths and not packed else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
+            with open_files(self.spark):
+                (rows.write.partitionBy(*paths) if paths and not packed else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
             files = self._packed(state.schema, staging) if packed else self._written(state.schema, staging, rows)
             return self._commit(table, files, at, stream, batch, {"journal": journal, "done": done})
         except PySparkException as e:
