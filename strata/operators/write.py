@@ -153,7 +153,7 @@ class Writer:
             if packed:
                 rows = rows.sortWithinPartitions(*paths)
             with open_files(self.spark):
-                (rows.write.partitionBy(*paths) if paths and not packed else rows.write).option("compression", "zstd").parquet(self.store.uri(staging))
+                (rows.write.partitionBy(*paths) if paths and not packed else rows.write).option("compression", "zstd").option("maxRecordsPerFile", self.target_rows).parquet(self.store.uri(staging))
             files = self._packed(state.schema, staging) if packed else self._written(state.schema, staging, rows)
             return self._commit(table, files, at, stream, batch, {"journal": journal, "done": done})
         except PySparkException as e:
@@ -226,7 +226,7 @@ class Writer:
         """The append commit: each partition's files go to its active segment, or to a new one if that is full.
 
         An append stays in one segment, but for one that by itself fills several: each of these gets files up to the
-        target, so that no segment, and no task that compacts it, grows with the size of an append.
+        target, what the first holds already included, so that no segment, and no task that compacts it, grows with the size of an append.
         """
         by_partition: dict[str, list] = {}
         values: dict[str, dict] = {}
@@ -243,9 +243,11 @@ class Writer:
                 segment = Segment(values[key], shard.new_segment_id())
                 active[slot] = segment.segment_id
             base, parts = segment.all_time_n, [Part(segment.segment_id)]
+            large = sum(n for _, n, _, _ in own) >= self.target_rows or sum(size for _, _, size, _ in own) >= self.target_bytes
+            held, held_bytes = (segment.row_count, segment.uncompressed_bytes) if large else (0, 0)
             for path, n, size, shared in own:
-                if parts[-1].rows >= self.target_rows or parts[-1].size >= self.target_bytes:
-                    base, parts = 0, [*parts, Part(shard.new_segment_id())]
+                if parts[-1].rows + held >= self.target_rows or parts[-1].size + held_bytes >= self.target_bytes:
+                    base, parts, held, held_bytes = 0, [*parts, Part(shard.new_segment_id())], 0, 0
                     active[slot] = parts[-1].segment_id
                 parts[-1].add(key, path, base, n, size, shared)
                 base += n
