@@ -38,6 +38,8 @@ class Shard:
         return Shard(self.n_log - 1, self.number // 2) if self.n_log else None
 
     def new_segment_id(self) -> str:
+        if not self.n_log:
+            return str(uuid.uuid4())
         rest = uuid.uuid4().int & ((1 << (128 - self.n_log)) - 1)
         return str(uuid.UUID(int=self.number << (128 - self.n_log) | rest))
 

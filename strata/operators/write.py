@@ -177,14 +177,15 @@ class Writer:
         read = self.spark.read.schema(kind).parquet(self.store.uri(staging))
         found = read.groupBy(F.col("_metadata.file_name").alias("name"), *paths).agg(F.count("*").alias("n"), F.sum("_bytes").alias("size"), F.min(row).alias("start"), F.max(row).alias("end")).collect()
         total: dict[str, int] = {}
-        for r in found:
-            if r.end - r.start + 1 != r.n:
-                raise Internal(f"{r.name}: the rows of a partition aren't together")
-            total[r.name] = total.get(r.name, 0) + r.n
+        for name, *_, n, _, start, end in found:  # by place, as a lookup by name goes through all names
+            if end - start + 1 != n:
+                raise Internal(f"{name}: the rows of a partition aren't together")
+            total[name] = total.get(name, 0) + n
+        kinds = schema.partitioning.items()
         out = []
-        for r in sorted(found, key=lambda r: (r.name, r.start)):
-            partition = {n: normal_path_value(d, r[schema.path_column(n)]) for n, d in schema.partitioning.items()}
-            out.append((partition, names[r.name], r.n, r.size, (r.start, total[r.name])))
+        for name, *own, n, size, start, _ in sorted(found, key=lambda r: (r[0], r[-2])):
+            partition = {k: normal_path_value(d, v) for (k, d), v in zip(kinds, own, strict=True)}
+            out.append((partition, names[name], n, size, (start, total[name])))
         return out
 
     def _written(self, schema: TableSchema, staging: str, rows: DataFrame) -> list[tuple[dict, str, int, int, None]]:
