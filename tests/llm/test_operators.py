@@ -83,6 +83,58 @@ def test_bpe_rows(spark, tiktoken_encoding):
     assert byte_bpe.round_trip(docs.where("false"), BPE, P.PATTERN).count() == 0
 
 
+def test_bpe_matches_and_merges_only_what_is_new(monkeypatch, tiktoken_encoding):
+    """Words that are remembered are not matched by the pattern again, and new ones share queues."""
+    own = byte_bpe.ByteBPE(byte_bpe.read_ranks(BPE), P.PATTERN)
+    matched, queues, pieces, merge = [], [], own.pieces, own.merge
+    monkeypatch.setattr(own, "pieces", lambda text: matched.append(len(text)) or pieces(text))
+    monkeypatch.setattr(own, "merge", lambda new: queues.append(len(new)) or merge(new))
+    text = ", ".join(prose(1, 5000).split()) + "  \n" + " ".join(f"zqxv{i:x}" for i in range(1000))
+    assert own.encode(text) == tiktoken_encoding.encode_ordinary(text)
+    assert sum(matched) < len(text) / 2 and len(queues) < 10
+    matched.clear(), queues.clear()
+    assert own.encode(text) == tiktoken_encoding.encode_ordinary(text)
+    assert sum(matched) < 100 and not queues
+
+
+def brute_bpe(ranks, piece):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.binary(min_size=2, max_size=6).map(lambda b: bytes(97 + x % 3 for x in b)), max_size=60), st.randoms(), st.lists(st.text("abc", min_size=1, max_size=40), min_size=1, max_size=12))
+def test_bpe_of_pieces_in_one_queue(tokens, r, words):
+    """Each piece as if alone, whatever the ranks: also where a longer token has the lower one."""
+    tokens = [b"a", b"b", b"c", *sorted(tokens)]
+    r.shuffle(tokens)
+    ranks = {t: 7 * i for i, t in enumerate(tokens)}
+    own = byte_bpe.ByteBPE(ranks, r"\w+")
+    got = [np.frombuffer(ids, np.int32).tolist() for ids in own.merge([w.encode() for w in words])]
+    assert got == [brute_bpe(ranks, w.encode()) for w in words]
+    with pytest.raises(KeyError):
+        own.merge([b"ab", b"ad"])
+
+
+def test_bpe_of_a_long_piece_of_falling_ranks():
+    """Each merge makes a pair of a lower rank; a queue whose rest were looked at again each time would be quadratic."""
+    own = byte_bpe.ByteBPE({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4, b"abcabc": 5}, r"\w+")
+    assert own.encode("abc" * 200_000) == [5] * 100_000
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", " \n", "\t", "\x1c", "\x85", "\u3000", "a", "ab", "é", "日本", "12", "'s", "'", ",", "--", "don't", "²", "\u0301", "x" * 60]), max_size=30))
+def test_bpe_of_words_and_white_space(tiktoken_encoding, parts):
+    own, text = byte_bpe.tokenizer(BPE, P.PATTERN), "".join(parts)
+    assert own.encode(text) == tiktoken_encoding.encode_ordinary(text)
+    pattern = "[^a]+|a+"  # with matches that cross spaces
+    library = type(tiktoken_encoding)("other", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+    assert byte_bpe.tokenizer(BPE, pattern).encode(text) == library.encode_ordinary(text)
+
+
 # token files
 
 
