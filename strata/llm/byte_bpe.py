@@ -84,11 +84,11 @@ class ByteBPE:
         n = len(raw)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        octets = np.frombuffer(raw, np.uint8).astype(np.int64)
+        octets = np.frombuffer(raw, np.uint8).astype(np.uint16)
         first = np.full(n, -1, np.int32)
         first[:-1] = self.of_bytes[octets[:-1] << 8 | octets[1:]]
         first[ends] = first[ends - 1] = -1
-        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends] = 0
         before[starts] = -1
         order = np.argsort(first, kind="stable")
@@ -106,6 +106,7 @@ class ByteBPE:
         token = self.of_byte[octets]
         token[ends] = GONE
         token = token.tolist()
+        del octets, first, order
         while top:
             word = (top & -top).bit_length() - 1
             bits = bitmap[word]
